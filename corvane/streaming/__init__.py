@@ -1,0 +1 @@
+"""Incremental maintenance of corpus tables."""
