@@ -70,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LINES = r"""
 with lines as (
-    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
     from documents
 ), keyed as (
     select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
@@ -80,7 +80,7 @@ with lines as (
     select keyed.*, first_doc is not null and doc_id <> first_doc as lost from keyed left join shared using (key)
 )
 select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not lost), '')) as kept_sha256
+    sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not lost), '')) as kept_sha256
 from marked group by doc_id
 """
 
@@ -98,7 +98,7 @@ with words as (
 ), found as (
     select places.doc_id, places.i, places.n, item_id from places join windows using (n, win)
 ), hit as (
-    select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + n)) as at from found) group by doc_id
+    select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from found) group by doc_id
 ), items as (
     select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as joined from (select distinct doc_id, item_id::varchar as item from found) group by doc_id
 )
