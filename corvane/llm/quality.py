@@ -191,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = F.broadcast(known.filter(F.pmod(F.xxhash64("__label_id"), F.lit(million)) < share))
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(few, F.col("__id") == F.col("__label_id"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(3)).cast("int")
-    found = with_statistics(chosen, "__text").filter(~base_failed()).select(F.col("__bad").alias("bad"), fold.alias("fold"), *[F.col(f"__stats.{f}") for f in FEATURES])
-    return learn(sorted((r.asDict() for r in found.collect()), key=lambda r: tuple(r.values())))
+    # Rows that the base rules reject leave here, not by a filter, which would be pushed below the join and so need every text's statistics.
+    found = with_statistics(chosen, "__text").select(F.col("__bad").alias("bad"), fold.alias("fold"), base_failed().alias("out"), *[F.col(f"__stats.{f}") for f in FEATURES])
+    return learn(sorted((r.asDict() for r in found.collect() if not r.out), key=lambda r: tuple(r.values())))
 
 
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
