@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import graph, search, spans
+from corvane.operators import graph, rank, search, spans
 from corvane.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,6 +378,64 @@ def innermost_binding_asof(spark, sf):
     return spans.innermost_binding(named(points), named(held.select("path", F.col("first").alias("begin"), F.col("last").alias("scope_end")))).drop("name")
 
 
+# --- ranking, counts and folds -------------------------------------------------------------------------------------
+
+_FIXTURE = " + ".join(f"case when contains(lower(path), '{w}') then 90 else 0 end + case when contains(lower(text), '{w}') then 40 else 0 end" for w in rank.FIXTURE_WORDS)
+
+
+@query("with " + LINES + f""" select path, line, 500 * contains(text, 'thing')::int + case contains(lower(path || ' ' || text), 'thing')::int + contains(lower(path || ' ' || text), 'of')::int when 2 then 300 when 1 then 120 else 0 end
+    + 160 + case when greatest(1, byte_len // 40) < 200 then 50 else 0 end - 250 - least(200, {_FIXTURE}) as score from lines join files using (path) where contains(text, 'thin')""")
+def rank_score(spark, sf):
+    files = files_of(spark, sf)
+    lines = adapters.lines(files).filter(F.contains("text", F.lit("thin")))
+    about = files.select("path", "ext", (F.col("depth")).alias("depth"), F.greatest(F.lit(1), F.floor(F.col("byte_len") / 40)).alias("est"))
+    score = rank.score("thing of", F.col("path"), F.col("ext"), F.col("depth"), F.col("est"), F.col("text"), F.contains("text", F.lit("thing")))
+    return lines.join(about, "path").select("path", "line", score.alias("score"))
+
+
+@query("""with e as (select event_id, epoch((select max(ts) from events))::bigint - epoch(ts)::bigint as age from events)
+    select event_id, case when age <= 3600 then 100 when age <= 86400 then 80 when age <= 604800 then 50 when age <= 2592000 then 20 else 0 end as points from e""")
+def recency_points(spark, sf):
+    events = adapters.table(spark, sf, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    last = events.agg(F.max("at").alias("last"))
+    return events.crossJoin(F.broadcast(last)).select("event_id", rank.recency(F.col("last") - F.col("at")).alias("points"))  # last is one row
+
+
+@query("""with c as (select p_brand || '.' || p_size as callee, count(*) as n, min(p_partkey) as target from part group by 1)
+    select callee, n, case when n = 1 then 'edge' else 'ambiguous' end as kind, case when n = 1 then target end as target from c""")
+def direct_call_unique(spark, sf):
+    part = adapters.table(spark, sf, "part").groupBy(F.concat_ws(".", "p_brand", "p_size").alias("callee")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("target"))
+    return part.select("callee", "n", F.when(F.col("n") == 1, "edge").otherwise("ambiguous").alias("kind"), F.when(F.col("n") == 1, F.col("target")).alias("target"))
+
+
+@query("""with p as (select p_partkey, string_split(p_name, ' ') as a, string_split(p_type, ' ') as b from part)
+    select p_partkey, i::int as slot, a[i] as arg, b[i] as param from (select *, unnest(range(1, least(8, greatest(len(a), len(b))) + 1)) as i from p)""")
+def arg_param_zip(spark, sf):
+    zipped = F.arrays_zip(F.split("p_name", " ").alias("arg"), F.split("p_type", " ").alias("param"))
+    part = adapters.table(spark, sf, "part").select("p_partkey", F.slice(zipped, 1, 8).alias("z"))
+    return part.select("p_partkey", F.posexplode("z")).select("p_partkey", (F.col("pos") + 1).alias("slot"), F.col("col.arg").alias("arg"), F.col("col.param").alias("param"))
+
+
+@query("""with recursive i as (select l_orderkey, l_linenumber, l_quantity::bigint as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as k from lineitem),
+    w as (select l_orderkey, k, q, case when q <= 60 then q else 0 end as used, case when q <= 60 then 1 else 0 end as taken from i where k = 1
+        union all select i.l_orderkey, i.k, i.q, w.used + case when w.used + i.q <= 60 then i.q else 0 end, w.taken + case when w.used + i.q <= 60 then 1 else 0 end from w join i on i.l_orderkey = w.l_orderkey and i.k = w.k + 1)
+    select l_orderkey, max(used) as used, max(taken)::bigint as taken from w group by 1""")
+def budget_fold(spark, sf):
+    """Line items of an order in turn while a budget of 60 lasts; what doesn't fit is skipped and later, smaller ones may still."""
+    items = adapters.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("items"))
+    fits = lambda acc, x: acc["used"] + x["l_quantity"].cast("long") <= 60
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("taken"))
+    step = lambda acc, x: F.struct((acc["used"] + F.when(fits(acc, x), x["l_quantity"].cast("long")).otherwise(0)).alias("used"), (acc["taken"] + F.when(fits(acc, x), 1).otherwise(0)).alias("taken"))
+    return items.select("l_orderkey", F.aggregate("items", start, step).alias("r")).select("l_orderkey", "r.used", "r.taken")
+
+
+@query("with " + LINES + """ select path, count(*) filter (where contains(text, ' | ')) as n_tables, count(*) filter (where not contains(text, ' | ') and contains(text, '!!')) as n_shouts, count(*) filter (where not contains(text, ' | ') and not contains(text, '!!')) as n_plain from lines group by path""")
+def page_evidence_counts(spark, sf):
+    """Lines of each file by kind; the first kind that fits counts."""
+    table, shout = F.contains("text", F.lit(" | ")), F.contains("text", F.lit("!!"))
+    return lines_of(spark, sf).groupBy("path").agg(F.count_if(table).alias("n_tables"), F.count_if(~table & shout).alias("n_shouts"), F.count_if(~table & ~shout).alias("n_plain"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
