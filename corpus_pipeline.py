@@ -22,7 +22,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (fingerprints, or five-word shingles at 0.8 or more) the document with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 

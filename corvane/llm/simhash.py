@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import resemblance
 from corvane.llm.common import keyed_text, materialise
 from corvane.llm.components import connected_components
 
@@ -161,9 +162,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return groups(docs, id_col, text_col, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Of each group the row with the smallest doc_id (a null one only if all are null), with its columns; of repeated rows, one."""
-    first = groups(docs, id_col, text_col, shingle).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
+def _described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, row_hash, fp, node, keys, sketch and text of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node, keys, bytes_ = [], [], [], []
+            for value in batch.column("text"):
+                text = value.as_py()
+                found = resemblance.shingles(text, words)
+                told = resemblance.sketch(found)
+                fp.append(fingerprint(text))
+                node.append(resemblance.node_of(found))
+                bytes_.append(told[0])
+                keys.append(told[1])
+            more = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "row_hash")), *more, batch.column("text")], ["doc_id", "row_hash", "fp", "node", "keys", "sketch", "text"])
+
+    schema = "doc_id long, row_hash long, fp long, node long, keys array<long>, sketch binary, text string"
+    return keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).mapInArrow(run, schema)
+
+
+def resemblance_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:
+    """doc_id, row_hash and root of every row: groups linked by fingerprints (MAX_BITS) or by shingle sets of ``words`` words at ``similarity``.
+
+    A fingerprint is a node of its own beside the nodes of shingle sets, linked to each set it was made from.
+    """
+    rows = materialise(_described(docs, id_col, text_col, words), "described")
+    tagged = lambda name: F.xxhash64(F.lit("fp"), F.col(name))
+    same = rows.select(F.col("node").alias("src"), tagged("fp").alias("dst")).distinct()
+    near = links(rows.select("fp").distinct()).select(tagged("src").alias("src"), tagged("dst").alias("dst"))
+    roots = connected_components(same.union(near).union(resemblance.links(rows, words, similarity)))
+    return rows.select("doc_id", "row_hash", "node").join(roots, "node").select("doc_id", "row_hash", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:
+    """Of each group of ``resemblance_groups`` the row with the smallest doc_id (a null one only if all are null), with its columns; of repeated rows, one."""
+    first = resemblance_groups(docs, id_col, text_col, words, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
     stay = first.select(F.col("first.doc_id").alias("__stay_id"), F.col("first.row_hash").alias("__stay_hash"))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__stay_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__stay_hash"))
     return docs.join(stay, same).dropDuplicates(["__stay_id", "__stay_hash"]).drop("__stay_id", "__stay_hash")

@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from tokenizers import Tokenizer
 
-from corvane.llm import decontamination, html_extract, langid, line_dedup, packing, pii, quality, simhash, token_store, warc
+from corvane.llm import decontamination, html_extract, langid, line_dedup, packing, pii, quality, resemblance, simhash, token_store, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, fp string, row_hash string, length int, rank int, text_ string"
@@ -88,6 +88,51 @@ def test_simhash_by_brute_force(spark):
     assert (root == got.component_id.to_numpy()).all()
 
 
+def groups_of_all_pairs(texts):
+    """The smallest key of each one's group: at most two bits of fingerprints, or five-word shingles at 0.8."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    keys = sorted(texts)
+    for n, i in enumerate(keys):
+        for j in keys[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (both and both >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root
+
+
+def test_stage_joins_what_is_alike_by_brute_force(spark):
+    draw = np.random.default_rng(7)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for n, i in enumerate(sorted(texts)[:120]):
+        w = texts[i].split(" ")
+        for at in draw.integers(0, len(w), max(1, int(len(w) * draw.uniform(0.005, 0.04)))):
+            w[at] = f"changed{at}"
+        texts[10_000 + n] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    expected = groups_of_all_pairs(texts)
+    assert len(set(expected.values())) < len(texts) - 60
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(expected.values())
+
+
+def test_many_alike_in_one_list_stay_one_group():
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 256, (2, 80)).astype(np.uint8)
+    copies = np.repeat(base, 1500, axis=0)
+    for row in copies:
+        row[draw.integers(0, 80, 6)] ^= 1
+    left, right = resemblance.list_links(np.arange(len(copies)), copies, resemblance.minimum_matches(0.8))
+    assert len(left) < 4 * len(copies)
+    assert {int(x) for x in left} | {int(x) for x in right} == set(range(3000)) and ((left < 1500) == (right < 1500)).all()
+    assert all(len(x) == 0 for x in resemblance.list_links(np.arange(2), base, resemblance.minimum_matches(0.8)))
+
+
 def test_dense_lists_have_the_groups_of_all_pairs():
     values = np.random.default_rng(1).choice(1 << 16, 700, replace=False)
     near, root = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2, np.arange(700)
@@ -216,15 +261,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
         for line in texts[i].split("\n"):
             first.setdefault(key(line), i)
     texts = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i) for i, t in texts.items()}
-    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    root = {i: i for i in texts}
-    changed = True
-    while changed:
-        changed = False
-        for i in texts:
-            best = min(root[j] for j in texts if (prints[i] ^ prints[j]).bit_count() <= 2)
-            changed |= best != root[i]
-            root[i] = best
+    root = groups_of_all_pairs(texts)
     texts = {i: t for i, t in texts.items() if root[i] == i}
     windows = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
