@@ -57,8 +57,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 def sketch(found: np.ndarray) -> tuple[bytes, list[int]]:
     """The positional bytes and the keys (signed) of a text's lists."""
     least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 512):
-        least = np.minimum(least, _mixed(found[at : at + 512, None] * _ODD).min(axis=0))
+    for at in range(0, len(found), 256):
+        least = np.minimum(least, (found[at : at + 256, None] * _ODD).min(axis=0))
     bands = least.reshape(BANDS, -1)
     keys = np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64).tolist()
     return (least & np.uint64(255)).astype(np.uint8).tobytes(), keys
