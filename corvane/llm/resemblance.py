@@ -7,9 +7,11 @@ shingles' hashes under function i. The index posts a text under BANDS groups of
 whole hashes, not bytes); two texts at 0.8 share none of these lists in two of 1,000 cases at most. Within a list the
 shared positional bytes are tallied, and what reaches ``minimum_matches`` is verified on the whole shingle sets.
 
-Texts with equal shingle sets are one node before any list is made. A list is passed in chunks: members are tallied
-with the list's leaders so far (those whose tally with every earlier leader is below the minimum) and with their
-own chunk. A member gives an edge to each leader it matches and to the best match in its chunk, not to all members.
+Texts with equal shingle sets are one node before any list is made. A list whose matching pairs are at most
+PAIRS a member gives them all as candidates. Any other list is joined with its members' texts and worked off whole
+in one task (``joined_sets``): members are taken from the one closest to the list's most frequent bytes on, each is
+verified with all members that match it and aren't joined to it yet, and an edge is given for each group that it
+joins. So every matching pair of a list is either verified or already within one group.
 
 Edge cases: null and empty texts have no shingles and one node, linked to nothing; fewer words than a shingle has are one shingle.
 """
@@ -29,6 +31,7 @@ SIMILARITY = 0.8
 POSITIONS = 80
 BANDS = 16
 CHUNK = 1024
+PAIRS = 8
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 EMPTY_NODE = 0
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +81,7 @@ def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def list_links(node: np.ndarray, bytes_: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links within one list, as positions; ``node`` is distinct and ascending."""
+    """Leader and best-match links within one list, as positions; ``node`` is distinct and ascending. Not all candidates: ``links`` doesn't use it."""
     src, dst = [], []
     leaders = np.empty(0, np.int64)
     for at in range(0, len(node), CHUNK):
@@ -110,36 +113,113 @@ def list_links(node: np.ndarray, bytes_: np.ndarray, minimum: int) -> tuple[np.n
     return pairs[0], pairs[1]
 
 
-def _candidates(minimum: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings come sorted by list; only the list at the end of a batch is held beyond it."""
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+def all_pairs(bytes_: np.ndarray, minimum: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All matching pairs of a list, as positions, or None if they are more than ``most``."""
+    left, right, found = [], [], 0
+    for at in range(0, len(bytes_), CHUNK):
+        for from_ in range(at, len(bytes_), CHUNK):
+            a, b = np.nonzero(_tally(bytes_[at : at + CHUNK], bytes_[from_ : from_ + CHUNK]) >= minimum)
+            a, b = a + at, b + from_
+            left.append(a[a < b])
+            right.append(b[a < b])
+            found += len(left[-1])
+            if found > most:
+                return None
+    return np.concatenate(left), np.concatenate(right)
+
+
+def joined_sets(sets: list[np.ndarray], bytes_: np.ndarray, minimum: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as positions, that make the same groups as all pairs with ``minimum`` shared bytes and the similarity on whole sets."""
+    n = len(sets)
+    usual = np.array([np.bincount(column, minlength=256).argmax() for column in bytes_.T])
+    order = np.argsort(-(bytes_ == usual).sum(axis=1), kind="stable")
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    group = np.arange(n)
+    src, dst = [], []
+    for k, i in enumerate(order.tolist()):
+        others = order[k + 1 :]
+        others = others[group[others] != group[i]]
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        for at in range(0, len(others), CHUNK):
+            some = others[at : at + CHUNK]
+            some = some[(bytes_[some] == bytes_[i]).sum(axis=1) >= minimum]
+            if not len(some):
+                continue
+            of = np.repeat(np.arange(len(some)), sizes[some])
+            place = np.arange(len(of)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some]) + np.repeat(ends[some] - sizes[some], sizes[some])
+            both = np.bincount(of[mark[ids[place]]], minlength=len(some))
+            for j in some[both >= similarity * (sizes[i] + sizes[some] - both) - 1e-9].tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    src.append(i)
+                    dst.append(j)
+        mark[own] = False
+    return np.array(src, np.int64), np.array(dst, np.int64)
+
+
+def _by_list(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by list; only the list at the end of a batch is held beyond it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        if held and held[0].column("key")[0].as_py() == key[0]:
+            if len(starts) == 1:
+                held.append(batch)
                 continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = table.column("key").to_numpy()
-            last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-            yield from links(table.slice(0, last))
-            held = table.slice(last)
-        if held is not None:
-            yield from links(held)
+            at = int(starts[1])
+        else:
+            at = 0
+        if held:
+            yield from links(pa.Table.from_batches([*held, batch.slice(0, at)] if at else held))
+        last = int(starts[-1])
+        if last > at:
+            yield from links(pa.Table.from_batches([batch.slice(at, last - at)]))
+        held = [batch.slice(last)]
+    if held:
+        yield from links(pa.Table.from_batches(held))
 
+
+def _lists(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Begin, end and bytes of each list of several members."""
+    key, column = table.column("key").to_numpy(), table.column("sketch")
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a > 1:
+            yield a, b, np.frombuffer(b"".join(column.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, POSITIONS)
+
+
+def _candidates(minimum: int):
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows < 2:
-            return
-        key, node, column = table.column("key").to_numpy(), table.column("node").to_numpy(), table.column("sketch")
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        """Pairs of nodes; of a list with too many, a row for each member, with the list's key and no dst."""
+        node, key = table.column("node").to_numpy(), table.column("key").to_numpy()
         out = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a > 1:
-                bytes_ = np.frombuffer(b"".join(column.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, POSITIONS)
-                i, j = list_links(node[a:b], bytes_, minimum)
-                out.append((node[a:b][i], node[a:b][j]))
+        for a, b, bytes_ in _lists(table):
+            pairs = all_pairs(bytes_, minimum, PAIRS * (b - a))
+            if pairs is None:
+                out.append((pa.array(node[a:b]), pa.nulls(b - a, pa.int64()), pa.array(key[a:b])))
+            else:
+                out.append((pa.array(node[a:b][pairs[0]]), pa.array(node[a:b][pairs[1]]), pa.nulls(len(pairs[0]), pa.int64())))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([o[k] for o in out]) for k in (0, 1, 2)], ["src", "dst", "key"])
 
-    return run
+    return lambda batches: _by_list(batches, links)
+
+
+def _joined(words: int, similarity: float, minimum: int):
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, text = table.column("node").to_numpy(), table.column("text")
+        for a, b, bytes_ in _lists(table):
+            i, j = joined_sets([shingles(t.as_py(), words) for t in text.slice(a, b - a)], bytes_, minimum, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a:b][i]), pa.array(node[a:b][j])], ["src", "dst"])
+
+    return lambda batches: _by_list(batches, links)
 
 
 def _verified(words: int, similarity: float):
@@ -166,12 +246,17 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
 
     nodes = rows.filter(F.col("node") != EMPTY_NODE).select("node", "sketch", "keys").dropDuplicates(["node"])
     postings = nodes.select("node", "sketch", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    found = materialise(postings.mapInArrow(_candidates(minimum_matches(similarity)), "src long, dst long").distinct(), "candidates")
-    ends = found.select(F.col("src").alias("node")).union(found.select("dst")).distinct()
+    minimum = minimum_matches(similarity)
+    met = materialise(postings.mapInArrow(_candidates(minimum), "src long, dst long, key long"), "candidates")
+    found = met.filter("key is null").select("src", "dst").distinct()
+    dense = met.filter("key is not null").select(F.col("src").alias("node"), "key")
+    ends = met.select(F.col("src").alias("node")).union(met.filter("dst is not null").select("dst")).distinct()
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("one")).join(ends, "node", "left_semi")
     first = first.select("one.*", F.col("node").alias("of")).withColumnsRenamed({"doc_id": "a", "row_hash": "b"})
     one = F.col("doc_id").eqNullSafe(F.col("a")) & F.col("row_hash").eqNullSafe(F.col("b"))
-    texts = materialise(rows.select("doc_id", "row_hash", "text").join(first, one).select("of", "text").dropDuplicates(["of"]), "texts")
+    texts = materialise(rows.select("doc_id", "row_hash", "sketch", "text").join(first, one).select("of", "sketch", "text").dropDuplicates(["of"]), "texts")
     pairs = found.join(texts.select(F.col("of").alias("src"), F.col("text").alias("left_text")), "src")
     pairs = pairs.join(texts.select(F.col("of").alias("dst"), F.col("text").alias("right_text")), "dst")
-    return pairs.select("src", "dst", "left_text", "right_text").sortWithinPartitions("src").mapInArrow(_verified(words, similarity), "src long, dst long")
+    verified = pairs.select("src", "dst", "left_text", "right_text").sortWithinPartitions("src").mapInArrow(_verified(words, similarity), "src long, dst long")
+    members = dense.join(texts.withColumnRenamed("of", "node"), "node").select("key", "node", "sketch", "text")
+    return verified.union(members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_joined(words, similarity, minimum), "src long, dst long"))

@@ -133,6 +133,33 @@ def test_many_alike_in_one_list_stay_one_group():
     assert all(len(x) == 0 for x in resemblance.list_links(np.arange(2), base, resemblance.minimum_matches(0.8)))
 
 
+def test_edited_copies_of_one_text_have_the_groups_of_all_pairs(spark):
+    draw = np.random.default_rng(11)
+    base = [f"w{k}" for k in draw.integers(0, 5000, 200)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 1001):
+        w = list(base)
+        for at in draw.choice(200, 4, replace=False):
+            w[at] = f"changed{i}x{at}"
+        texts[i] = " ".join(w)
+    sets = [set(resemblance.shingles(t).tolist()) for t in texts.values()]
+    keys = [set(resemblance.sketch(resemblance.shingles(t))[1]) for t in texts.values()]
+    expected = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and expected[i] != expected[j]:
+                a, b = sorted((expected[i], expected[j]))
+                expected = [a if r == b else r for r in expected]
+    assert expected.count(0) > 700
+    rows = simhash._described(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), "doc_id", "text", 5).localCheckpoint()
+    of = {r.node: r.doc_id for r in rows.collect()}
+    root = list(range(len(texts)))
+    for r in resemblance.links(rows).collect():
+        a, b = sorted((root[of[r.src]], root[of[r.dst]]))
+        root = [a if x == b else x for x in root]
+    assert root == expected
+
+
 def test_dense_lists_have_the_groups_of_all_pairs():
     values = np.random.default_rng(1).choice(1 << 16, 700, replace=False)
     near, root = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2, np.arange(700)
