@@ -2,9 +2,10 @@
 
 The standard library's streaming parser gives events; block elements cut them to lines, each with its text and its number of
 tags. A line's ratio is characters per tag; ratios are smoothed along the page by a Gaussian, and lines at or above the
-threshold (the standard deviation of the smoothed ratios) are the content cluster. The region is the deepest container that holds most of the cluster's
-text, or the article or main element around it; its lines are the text, in page order, without those inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments. In a page whose region is the body itself it ends with the first and the last clustered line.
+threshold (the standard deviation of the smoothed ratios) are the content cluster. The region is the deepest container that holds every line of the
+cluster, or the article or main element around it; its lines are the text, in page order, without those inside menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments. In a page whose region is the body itself, lines of links alone before the first
+and after the last clustered line aren't part of it.
 
 White space inside a block becomes one space, character references are decoded, blocks are joined by two \\n. Edge cases: a null or empty page, or
 one without text, gives an empty text; unclosed and misnested elements end with their container; cut-off pages give what they have;
@@ -23,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
-MAJORITY = 0.6
 
 # HTML elements by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("nav footer aside form script style noscript template iframe object svg math button select textarea head title dialog menu search audio video canvas".split())
-CONTAINERS = frozenset("article main section div body td blockquote".split())
+CONTAINERS = frozenset("article main section div body td".split())
 ENDS_P = BLOCKS - {"html", "body", "option", "optgroup"}
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 LEFT_OUT_NAMES = frozenset(
@@ -48,11 +48,12 @@ class _Node:
 
 
 class _Line:
-    __slots__ = ("pieces", "tags", "node")
+    __slots__ = ("pieces", "tags", "node", "linked")
 
     def __init__(self, node: _Node):
         self.pieces: list[str] = []
         self.tags = 0
+        self.linked = 0  # 1 with words in links, 2 with words outside, 3 with both
         self.node = node
 
     def text(self) -> str:
@@ -67,12 +68,14 @@ class Lines(HTMLParser):
         self.node = _Node("", None, False)
         self.lines: list[_Line] = []
         self.line = _Line(self.node)
+        self.link = False
 
     def _new_line(self) -> None:
         if self.line.pieces:
             self.lines.append(self.line)
             self.line = _Line(self.node)
         self.line.node = self.node
+        self.link = False
 
     def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in LEFT_OUT:
@@ -110,6 +113,8 @@ class Lines(HTMLParser):
             self._new_line()
         elif tag == "br":
             self.line.pieces.append(" ")
+        elif tag == "a":
+            self.link = True
         self.line.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -131,6 +136,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.line.tags += 1
+        if tag == "a":
+            self.link = False
         if tag in ("html", "body"):
             return
         at = self.node
@@ -145,6 +152,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.node.out:
             self.line.pieces.append(data)
+            if any(map(str.isalnum, data)):
+                self.line.linked |= 1 if self.link else 2
 
     def finish(self) -> list[_Line]:
         self.close()
@@ -159,18 +168,17 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(around, weights / weights.sum(), mode="valid")
 
 
-def _region(lines: list[_Line], sizes: np.ndarray, seeds: np.ndarray) -> _Node | None:
-    weight: dict[int, float] = {}
+def _region(lines: list[_Line], seeds: np.ndarray) -> _Node | None:
+    held: dict[int, int] = {}
     nodes: dict[int, _Node] = {}
-    for line, size, seed in zip(lines, sizes, seeds, strict=True):
-        at = line.node if seed else None
+    for k in np.flatnonzero(seeds):
+        at: _Node | None = lines[k].node
         while at:
             if at.tag in CONTAINERS:
-                weight[id(at)] = weight.get(id(at), 0) + size
+                held[id(at)] = held.get(id(at), 0) + 1
                 nodes[id(at)] = at
             at = at.parent
-    total = sizes[seeds].sum()
-    best = max((n for k, n in nodes.items() if weight[k] >= MAJORITY * total), key=lambda n: n.depth, default=None)
+    best = max((n for k, n in nodes.items() if held[k] == seeds.sum()), key=lambda n: n.depth, default=None)
     at, around = best, None
     while at:
         if at.tag in ("article", "main"):
@@ -192,7 +200,7 @@ def extract(html: str | None) -> str:
     seeds = ratios >= ratios.std()
     if not seeds.any():
         seeds[:] = True
-    region = _region(lines, sizes, seeds)
+    region = _region(lines, seeds)
 
     def inside(node: _Node) -> bool:
         at: _Node | None = node
@@ -204,7 +212,7 @@ def extract(html: str | None) -> str:
         first, last = np.flatnonzero(seeds)[[0, -1]]
         while first and lines[first - 1].node.tag in ("h1", "h2"):
             first -= 1
-        return "\n\n".join(t for i, (_, t) in enumerate(kept) if first <= i <= last)
+        return "\n\n".join(t for i, (line, t) in enumerate(kept) if first <= i <= last or line.linked != 1)
     return "\n\n".join(t for line, t in kept if inside(line.node))
 
 

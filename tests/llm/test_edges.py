@@ -249,6 +249,21 @@ def test_html(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_every_clustered_line_without_article_or_main():
+    p = ["".join(f"{k}{n} word " for n in range(60)).strip() for k in "abc"]
+    para = [f"<p>{t}</p>" for t in p]
+    split = f"<body><div id=content><div>{para[0]}{para[1]}</div><div>{para[2]}</div></div></body>"
+    quote = f"<body><div><p>Intro here.</p><blockquote>{para[0]}{para[1]}</blockquote>{para[2]}</div></body>"
+    only_quote = f"<body><div><p>He said:</p><blockquote>{para[0]}</blockquote><p>The end.</p></div></body>"
+    cells = f"<body><table><tr><td>{para[0]}{para[1]}</td><td>{para[2]}</td></tr></table></body>"
+    sections = f"<body><section>{para[0]}{para[1]}</section><section>{para[2]}</section></body>"
+    body = f"<body><p><a href=x>Home</a> | <a href=y>About</a></p><h1>Title</h1>{para[0]}{para[1]}{para[2]}<p>One.</p><p>Two.</p><ul><li>Three</li><li>Four</li><li>Five</li></ul></body>"
+    assert [html_extract.extract(x).split("\n\n") for x in (split, cells, sections)] == [p] * 3
+    assert html_extract.extract(quote).split("\n\n") == ["Intro here.", *p]
+    assert html_extract.extract(only_quote).split("\n\n") == ["He said:", p[0], "The end."]
+    assert html_extract.extract(body).split("\n\n") == ["Title", *p, "One.", "Two.", "Three", "Four", "Five"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/\r\nx", "same"), (2, None, "same"), (2, "http://a", "same"), (None, "u", "same"), (3, "u", None), (None, "u", "alone"), (9, "u", "y" * 3_000_000)], "page_id long, url string, html string")
     got = warc.round_trip(pages).collect()
