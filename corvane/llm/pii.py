@@ -99,7 +99,7 @@ _SPELLED = re.compile(rf"(?i)(?<![a-z])(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20,-]{{
 _SPELLED_PART = re.compile(rf"(?i){_WORD}|plus|[0-9]")
 _OCTETS = re.compile(rf"(?i)(?<![a-z])((?:(?:{_WORD})[\x20-]?){{1,3}})[\x20]?(?:dot|point)[\x20]?((?:(?:{_WORD})[\x20-]?){{1,3}})[\x20]?(?:dot|point)[\x20]?((?:(?:{_WORD})[\x20-]?){{1,3}})[\x20]?(?:dot|point)[\x20]?((?:(?:{_WORD})[\x20-]?){{1,3}})(?![a-z])")
 _BRACKET = re.compile(r"(?i)[\x20]{0,2}[\[({<][\x20]{0,2}(at|dot|punkt|punto|point|arroba|@|\.)[\x20]{0,2}[\])}>][\x20]{0,2}")
-_SPACED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})[\x20]{1,2}(at|@)[\x20]{1,2}([A-Za-z0-9-]{1,63}(?:[\x20]{1,2}(?:dot|\.)[\x20]{1,2}[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])")
+_SPACED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)[\x20]{1,2}(at|@)[\x20]{1,2}([A-Za-z0-9-]++(?:[\x20]{1,2}(?:dot|\.)[\x20]{1,2}[A-Za-z0-9-]++)++)")
 _DOT_DIGITS = re.compile(r"(?i)(?<![0-9])([0-9]{1,3})[\x20]{1,2}(?:dot|point)[\x20]{1,2}([0-9]{1,3})[\x20]{1,2}(?:dot|point)[\x20]{1,2}([0-9]{1,3})[\x20]{1,2}(?:dot|point)[\x20]{1,2}([0-9]{1,3})(?![0-9])")
 _HINT = re.compile(r"(?i)[\x20\])}>](?:at|dot|@|point|punkt|punto|arroba)[\x20\])}>]|[\[({<][\x20]{0,2}(?:at|dot|@|\.|punkt|punto|point|arroba)[\x20]{0,2}[\])}>]|(?<![a-z])(?:" + _WORD + r")[\x20,-]")
 

@@ -283,6 +283,12 @@ def test_personal_data_disguises_map_to_their_source():
         assert [(k, text[a:b]) for k, v in pii.detect(text)[1].items() for a, b in v] == expected
 
 
+def test_spaced_disguises_have_no_caps():
+    labels = " dot ".join("abcdefghij")
+    for text in (f"{'j' * 65} at x dot org", f"{'j' * 5000} at x dot org", f"jo at {labels}", f"jo at {'d' * 64} dot org", f"jo at x dot {'o' * 300} dot org"):
+        assert [(k, f"see {text}, please"[a:b]) for k, v in pii.detect(f"see {text}, please")[1].items() for a, b in v] == [("email", text)]
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = langid.predict(docs, langid.fit(docs)).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
