@@ -49,6 +49,12 @@ def lines_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges_of(spark: SparkSession, sf: str) -> DataFrame:
+    """All edges."""
+    return adapters.call_graph(adapters.call_sites(spark, sf), None)
+
+
+def heaviest_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of EDGES, for queries whose SQL reads those alone."""
     return adapters.call_graph(adapters.call_sites(spark, sf))
 
 
@@ -274,7 +280,7 @@ def callers_filtered(spark, sf):
 @query("with recursive " + EDGES + """, walk as (select 7 as node, 0 as hop union all select src, hop + 1 from walk join edges on dst = node where hop < 3), dist as (select node, min(hop) as hop from walk group by node)
     select (hop + 1)::int as hop, src, dst from edges join dist on dst = node where hop < 3""")
 def callers_bfs(spark, sf):
-    return graph.callers_bfs(edges_of(spark, sf).select("src", "dst"), [7], 3)
+    return graph.callers_bfs(heaviest_of(spark, sf).select("src", "dst"), [7], 3)
 
 
 @query()
@@ -284,12 +290,12 @@ def callers_bfs_guarded(spark, sf):
 
 @query("with " + EDGES + """, f as (select distinct src from edges where dst = 7), n as (select count(*) <= 10 as few from f) select distinct src, dst from edges, n where few and dst in (select src from f) and dst <> 7""")
 def callers_second_hop(spark, sf):
-    return graph.second_hop(edges_of(spark, sf), 7)
+    return graph.second_hop(heaviest_of(spark, sf), 7)
 
 
 @query("with " + EDGES + """ select a.src, b.dst, min(a.dst) as via from edges a join edges b on a.dst = b.src group by 1, 2 having count(*) = 1""")
 def unique_chain(spark, sf):
-    return graph.unique_chains(edges_of(spark, sf))
+    return graph.unique_chains(heaviest_of(spark, sf))
 
 
 @query("""with d as (select p_brand as name, case p_size % 3 when 0 then 1 when 1 then 2 else 3 end as stage, p_partkey as ord, p_type as path from part)

@@ -63,6 +63,7 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def call_graph(calls: DataFrame, most: int = 90) -> DataFrame:
-    """The ``most`` heaviest edges (src, dst, n): a report of the top edges, ties by src and dst."""
-    return calls.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "dst").limit(most)
+def call_graph(calls: DataFrame, most: int | None = 90) -> DataFrame:
+    """The ``most`` heaviest edges (src, dst, n), ties by src and dst; all edges if it is None."""
+    edges = calls.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n"))
+    return edges if most is None else edges.orderBy(F.desc("n"), "src", "dst").limit(most)
