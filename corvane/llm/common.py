@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -13,21 +15,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Work folders of this driver that are still there, with what removes them.
+_FOLDERS: dict[str, Callable[[], None]] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a single machine, as in tests) a folder of this process is
-    made and the session keeps it, so that later calls agree.
+    Where the setting is absent and the master is local (a single machine, as in tests) a folder of this process is made and the
+    session keeps it, so that later calls agree. On a cluster the absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def work_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new folder below the shared one; it goes when the driver ends, or with ``remove_folder`` or ``settle``."""
+    uri = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    conf = spark._jsc.hadoopConfiguration()
+    _FOLDERS[uri] = lambda: path.getFileSystem(conf).delete(path, True)
+    return uri
+
+
+def remove_folder(uri: str) -> None:
+    if remove := _FOLDERS.pop(uri, None):
+        remove()
+
+
+@atexit.register
+def _remove_all() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        for uri in list(_FOLDERS):
+            remove_folder(uri)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -39,17 +65,22 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """``make()``, written; the work folders that it left behind, which nothing reads any more, go."""
+    before = set(_FOLDERS)
+    made = make()
+    between = set(_FOLDERS) - before
+    out = materialise(made, tag)
+    for uri in between:
+        remove_folder(uri)
+    return out
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """A file system and the path in it; works for file:, hdfs:, s3: and others that Arrow opens."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else "file://" + uri)
 
 
-def remove_folder(uri: str) -> None:
-    system, path = filesystem(uri)
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
-
-
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; whatever else a table has is left out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
