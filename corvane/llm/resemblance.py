@@ -8,10 +8,12 @@ whole hashes, not bytes); two texts at 0.8 share none of these lists in two of 1
 shared positional bytes are tallied, and what reaches ``minimum_matches`` is verified on the whole shingle sets.
 
 Texts with equal shingle sets are one node before any list is made. A list whose matching pairs are at most
-PAIRS a member gives them all as candidates. Any other list is joined with its members' texts and worked off whole
-in one task (``joined_sets``): members are taken from the one closest to the list's most frequent bytes on, each is
-verified with all members that match it and aren't joined to it yet, and an edge is given for each group that it
-joins. So every matching pair of a list is either verified or already within one group.
+PAIRS a member gives them all as candidates. Any other list is joined with its members' texts and worked off in
+blocks: a list within BLOCK members and BLOCK_BYTES of text is one block; a longer one is dealt to several, and a task has one couple of
+blocks, so that each two members still meet in a task, and no task holds more than two blocks (``joined_sets``). There, members are taken from the one closest
+to the most frequent bytes on, each is verified with all members that match it and aren't joined to it yet, and an
+edge is given for each group that it joins. So every matching pair of a list is either verified or already within one
+group. The work of a list beyond a block grows with the square of its blocks.
 
 Edge cases: null and empty texts have no shingles and one node, linked to nothing; fewer words than a shingle has are one shingle.
 """
@@ -31,6 +33,8 @@ SIMILARITY = 0.8
 POSITIONS = 80
 BANDS = 16
 CHUNK = 1024
+BLOCK = 4096
+BLOCK_BYTES = 24 << 20
 PAIRS = 8
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 EMPTY_NODE = 0
@@ -80,39 +84,6 @@ def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([(b == one).sum(axis=1) for one in a]) if len(a) else np.empty((0, len(b)), np.int64)
 
 
-def list_links(node: np.ndarray, bytes_: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leader and best-match links within one list, as positions; ``node`` is distinct and ascending. Not all candidates: ``links`` doesn't use it."""
-    src, dst = [], []
-    leaders = np.empty(0, np.int64)
-    for at in range(0, len(node), CHUNK):
-        here = np.arange(at, min(at + CHUNK, len(node)))
-        far = _tally(bytes_[here], bytes_[leaders])
-        hit = far >= minimum
-        who, which = np.nonzero(hit)
-        src.append(here[who])
-        dst.append(leaders[which])
-        near = _tally(bytes_[here], bytes_[here])
-        led = hit.any(axis=1)
-        new = []
-        for k in np.flatnonzero(~led).tolist():
-            matched = [j for j in new if near[k, j] >= minimum]
-            if not matched:
-                new.append(k)
-        linked = near[:, new] >= minimum
-        who, which = np.nonzero(linked)
-        src.append(here[who])
-        dst.append(here[np.array(new, np.int64)[which]] if new else here[:0])
-        np.fill_diagonal(near, -1)
-        best = near.argmax(axis=1)
-        good = near[np.arange(len(here)), best] >= minimum
-        src.append(here[good])
-        dst.append(here[best[good]])
-        leaders = np.r_[leaders, here[np.array(new, np.int64)]]
-    a, b = np.concatenate(src), np.concatenate(dst)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-    return pairs[0], pairs[1]
-
-
 def all_pairs(bytes_: np.ndarray, minimum: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
     """All matching pairs of a list, as positions, or None if they are more than ``most``."""
     left, right, found = [], [], 0
@@ -240,6 +211,17 @@ def _verified(words: int, similarity: float):
     return run
 
 
+def _in_blocks(dense: DataFrame, texts: DataFrame) -> DataFrame:
+    """``dense`` (node, key) with, for each couple of blocks that a member is in, a key of its own."""
+    sized = dense.join(texts.select(F.col("of").alias("node"), "bytes"), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = dense.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Two blocks need no couples of one block with itself: a block's members meet beside those of the other.
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    met = own.select("node", "key", "own", F.explode(others).alias("other"))
+    return met.select("node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+
+
 def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified edges (src, dst) between nodes of ``rows`` (doc_id, row_hash, node, keys, sketch, text)."""
     from corvane.llm.common import materialise
@@ -254,9 +236,10 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("one")).join(ends, "node", "left_semi")
     first = first.select("one.*", F.col("node").alias("of")).withColumnsRenamed({"doc_id": "a", "row_hash": "b"})
     one = F.col("doc_id").eqNullSafe(F.col("a")) & F.col("row_hash").eqNullSafe(F.col("b"))
-    texts = materialise(rows.select("doc_id", "row_hash", "sketch", "text").join(first, one).select("of", "sketch", "text").dropDuplicates(["of"]), "texts")
+    texts = rows.select("doc_id", "row_hash", "sketch", "text").join(first, one).select("of", "sketch", F.octet_length("text").alias("bytes"), "text").dropDuplicates(["of"])
+    texts = materialise(texts, "texts")
     pairs = found.join(texts.select(F.col("of").alias("src"), F.col("text").alias("left_text")), "src")
     pairs = pairs.join(texts.select(F.col("of").alias("dst"), F.col("text").alias("right_text")), "dst")
     verified = pairs.select("src", "dst", "left_text", "right_text").sortWithinPartitions("src").mapInArrow(_verified(words, similarity), "src long, dst long")
-    members = dense.join(texts.withColumnRenamed("of", "node"), "node").select("key", "node", "sketch", "text")
+    members = _in_blocks(dense, texts).join(texts.withColumnRenamed("of", "node"), "node").select("key", "node", "sketch", "text")
     return verified.union(members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_joined(words, similarity, minimum), "src long, dst long"))
