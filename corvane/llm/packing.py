@@ -8,7 +8,8 @@ are packed by best fit, longest first, to the room that patterns left and to new
 equal length move together, so the plan is a bounded list of groups of equal sequences.
 
 The pieces learn their place from the plan and their rank among pieces of their length. Ranks are counted within salted
-parts of a length, so that a length that a third of all pieces have isn't ranked in one task.
+parts of a length, so that a length that a third of all pieces have isn't ranked in one task; the salt is from a number that each piece
+gets when it is made, so repeated rows are spread as well.
 
 Edge cases: null and empty texts are pieces of the end id alone; rows with one doc_id, or a null one, are each packed. An empty
 table gives an empty one. Only documents longer than a sequence are cut.
@@ -31,16 +32,18 @@ from corvane.llm.tokens import crc, encoded
 CAPACITY = 4096
 UNITS = 64
 #: Pieces of one length and salt that are ranked together, unless that made over MOST_PARTS parts.
-PART = 20_000
+PART = 1_000
 MOST_PARTS = 50_000
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece of each row's ids: where it starts in its document, its length and the checksum of its ids."""
+    """A row for each piece of each row's ids: where it starts in its document, its length and the checksum of its ids;
+    ``spread`` is a number without meaning that differs from row to row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
         for table, ids, ends in encoded(vocabulary, batches):
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             sizes = ends - starts
@@ -51,9 +54,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
             length = np.minimum(capacity, sizes[row] - begin)
             at = starts[row] + begin
             sums = [crc(ids[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
+            spread = (made + np.arange(len(row))) * 0x9E3779B1 % (1 << 31)
+            made += len(row)
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(begin, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (begin, length, sums, spread))],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "spread"],
             )
 
     return keyed_text(docs, id_col, text_col).mapInArrow(run, _PIECES)
@@ -66,7 +71,7 @@ def patterns(units: int) -> list[tuple[int, ...]]:
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, most: int = 1000) -> np.ndarray:
-    """x >= 0 with the least |ax - b|, by an active set of columns."""
+    """x >= 0 with the least |ax - b|, by an active set of columns. After ``most`` columns the fit is what it is: best fit packs whatever it leaves."""
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     gram, target = a.T @ a, a.T @ b
     tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
@@ -216,21 +221,21 @@ class Places:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (with doc_id, piece, length) with sequence_id and offset."""
+    """``parts`` (a written table with doc_id, piece, length and spread) with sequence_id and offset."""
     spark = parts.sparkSession
     histogram = {int(r.length): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
     part = max(PART, sum(histogram.values()) // MOST_PARTS)
     salts = spark.createDataFrame([(k, -(-n // part)) for k, n in histogram.items()], "length long, salts long")  # a row for each length at most
-    salted = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    salted = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.col("spread"), F.col("salts"))).drop("salts")
     before: dict[int, int] = {}
     ahead = []
     for r in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):
         ahead.append((r.length, r.salt, before.get(r.length, 0)))
         before[r.length] = before.get(r.length, 0) + r["n"]
     ahead = spark.createDataFrame(ahead, "length long, salt long, ahead long")  # MOST_PARTS rows and one for each length at most
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))).join(F.broadcast(ahead), ["length", "salt"])
-    names = [n for n in parts.columns if n not in ("sequence_id", "offset")]
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "spread"))).join(F.broadcast(ahead), ["length", "salt"])
+    names = [n for n in parts.columns if n not in ("sequence_id", "offset", "spread")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
