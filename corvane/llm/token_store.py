@@ -1,12 +1,15 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-A shard is a header (magic, length, JSON), the raw little-endian ids of its documents one after the other, and an index: the
+A shard is a header (magic, id width), the raw little-endian ids of its documents one after the other, and an index: the
 documents' first ids and keys in order, and a minimal perfect hash from key to slot with a stored 32-bit
-fingerprint, the place of the key's first document and how many follow with that key. A lookup hashes
-the key twice at most and reads one slot and one range of ids, however large the shard. The fingerprint turns away nearly all absent
-keys, the stored key the rest. ``manifest.json`` has the shards in ascending order of keys, with their key ranges and first ids.
-
-Documents are dealt out by ranges of doc_id and a hash of the text, so that a doc_id of a third of all rows fills several shards. A
+fingerprint, the place of the key's first document and how many follow with that key. All parts have fixed-width entries at offsets
+that the shard's tail names. A lookup (``Shard.get``) hashes the key twice at most and reads the entries of one bucket, one slot and one place and then
+one range of ids, however large the shard: the tail is all that is read to open it. The fingerprint turns away nearly all absent
+keys, the stored key the rest. ``manifest.json`` has the shards in ascending order of keys, with their key ranges and first ids; ``Store`` reads it once and keeps
+the shards that it has opened.
+
+Documents are dealt out by ranges of doc_id, a hash of the text and the input partition, so that neither a doc_id nor copies of one row that are a third of all
+rows fill one shard. A
 task streams its ids to a file of its own name; the manifest names the files of the attempts that ended well, and others are removed.
 
 Edge cases: a null or empty text has the end id alone; null doc_ids come first and have no key; rows with one doc_id follow each other
@@ -18,6 +21,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,10 +79,14 @@ class PerfectHash:
         table[bucket[order[starts[single]]]] = -1 - np.flatnonzero(free)[: len(single)]
         return cls(table)
 
+    @staticmethod
+    def slot(keys: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+        """The slots of keys whose buckets hold ``held``."""
+        return np.where(held < 0, -1 - held, (mix(keys, np.maximum(held, 0)) % np.uint64(n)).astype(np.int64))
+
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        n = np.uint64(len(self.table))
-        held = self.table[(mix(keys, 0) % n).astype(np.int64)]
-        return np.where(held < 0, -1 - held, (mix(keys, np.maximum(held, 0)) % n).astype(np.int64))
+        n = len(self.table)
+        return self.slot(keys, self.table[(mix(keys, 0) % np.uint64(n)).astype(np.int64)], n)
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
@@ -122,7 +130,7 @@ class _Writer:
 
 
 class Shard:
-    """An open shard: its index in memory, its ids read when asked for."""
+    """An open shard. Only its tail is in memory; entries and ids are read when asked for."""
 
     def __init__(self, uri: str, name: str):
         system, folder = filesystem(uri)
@@ -134,37 +142,56 @@ class Shard:
         size = self.file.size()
         n = struct.unpack("<I", self.file.read_at(4, size - 4))[0]
         at = size - 4 - n
-        parts = json.loads(self.file.read_at(n, at))
-        for k, (kind, count) in reversed(parts.items()):
+        self.parts: dict[str, tuple[int, np.dtype, int]] = {}
+        for k, (kind, count) in reversed(json.loads(self.file.read_at(n, at)).items()):
             at -= np.dtype(kind).itemsize * count
-            setattr(self, k, np.frombuffer(self.file.read_at(np.dtype(kind).itemsize * count, at), kind))
-        self.hash = PerfectHash(self.table)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key's first document in the shard, or -1."""
-        if not len(self.table):
-            return np.full(len(keys), -1, np.int64)
-        slot = self.hash.slots(keys)
-        place = self.places[slot].astype(np.int64)
-        return np.where((self.prints[slot] == fingerprints(keys)) & (self.keys[place] == keys), place, -1)
-
-    def ids(self, first: int, last: int) -> np.ndarray:
-        """The ids of the documents from place first to last - 1."""
-        a, b = int(self.starts[first]), int(self.starts[last])
-        return np.frombuffer(self.file.read_at((b - a) * self.width, 12 + a * self.width), f"<u{self.width}")
+            self.parts[k] = (at, np.dtype(kind), count)
+
+    def size(self, part: str) -> int:
+        return self.parts[part][2]
+
+    def entries(self, part: str, first: int, n: int) -> np.ndarray:
+        at, kind, _ = self.parts[part]
+        return np.frombuffer(self.file.read_at(n * kind.itemsize, at + first * kind.itemsize), kind)
+
+    def _at(self, part: str, places: np.ndarray) -> np.ndarray:
+        """Entries at any places: each read alone if they are few, all at once else."""
+        if len(places) <= 4:
+            return np.concatenate([self.entries(part, int(p), 1) for p in places]) if len(places) else self.entries(part, 0, 0)
+        return self.entries(part, 0, self.size(part))[places]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key the place of its first document in the shard, or -1, and how many it has."""
+        n = self.size("table")
+        if not n:
+            return np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        held = self._at("table", (mix(keys, 0) % np.uint64(n)).astype(np.int64))
+        slot = PerfectHash.slot(keys, held, n)
+        place = self._at("places", slot).astype(np.int64)
+        there = self._at("prints", slot) == fingerprints(keys)
+        there[there] = self._at("keys", place[there]) == keys[there]
+        return np.where(there, place, -1), np.where(there, self._at("counts", slot), 0).astype(np.int64)
+
+    def starts(self, first: int, last: int) -> np.ndarray:
+        """Where the ids of the documents from place first to last begin; last may be one beyond the last document."""
+        return self.entries("starts", first, last - first + 1).astype(np.int64)
+
+    def ids(self, begin: int, end: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((end - begin) * self.width, 12 + begin * self.width), f"<u{self.width}")
 
     def get(self, key: int) -> list[np.ndarray]:
-        place = int(self.find(np.array([key], np.int64))[0])
-        if place < 0:
+        places, counts = self.find(np.array([key], np.int64))
+        if places[0] < 0:
             return []
-        n = int(self.counts[self.hash.slots(np.array([key], np.int64))[0]])
-        return [self.ids(p, p + 1) for p in range(place, place + n)]
+        starts = self.starts(int(places[0]), int(places[0] + counts[0])).tolist()
+        return [self.ids(a, b) for a, b in zip(starts, starts[1:], strict=False)]
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write all documents' ids to ``folder`` in ascending order of doc_id; the manifest's shards."""
     spark = docs.sparkSession
-    ordered = keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).repartitionByRange("doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash", "text")
+    ordered = keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).withColumn("input", F.spark_partition_id())
+    ordered = ordered.repartitionByRange("doc_id", "row_hash", "input").sortWithinPartitions("doc_id", "row_hash", "input").drop("input")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -203,37 +230,66 @@ def manifest(folder: str) -> dict:
         return json.loads(f.read())
 
 
+class Store:
+    """Keyed access to a folder of shards."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.shards = [s for s in manifest(folder)["shards"] if s["low"] is not None]
+        self.lows = [s["low"] for s in self.shards]
+        self.open: dict[str, Shard] = {}
+
+    def lookup(self, key: int) -> list[np.ndarray]:
+        """The ids of every document with the key, from the shards whose range has it."""
+        out: list[np.ndarray] = []
+        for s in self.shards[max(0, bisect_left(self.lows, key) - 1) : bisect_right(self.lows, key)]:
+            if s["low"] <= key <= s["high"]:
+                if s["name"] not in self.open:
+                    self.open[s["name"]] = Shard(self.folder, s["name"])
+                out += self.open[s["name"]].get(key)
+        return out
+
+
 def lookup(folder: str, key: int) -> list[np.ndarray]:
-    """The ids of every document with the key, from the shards whose range has it."""
-    return [ids for s in manifest(folder)["shards"] if s["low"] is not None and s["low"] <= key <= s["high"] for ids in Shard(folder, s["name"]).get(key)]
+    """One lookup in a folder that isn't open."""
+    return Store(folder).lookup(key)
 
 
 def read_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; each key is found through the index."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
+
+    A document with a key is read where its slot says: the place that the index gives its key, and as many on as rows with that key came before it.
+    """
     shards = manifest(folder)["shards"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = Shard(folder, name)
-                keys, null = shard.keys.astype(np.int64), shard.nulls.astype(bool)
+                n = shard.size("keys")
+                keys, null = shard.entries("keys", 0, n).astype(np.int64), shard.entries("nulls", 0, n).astype(bool)
+                place = np.arange(n)
                 there = np.flatnonzero(~null)
-                found = shard.find(keys[there])
-                if (found < 0).any() or (keys[found] != keys[there]).any():
+                found, _ = shard.find(keys[there])
+                if (found < 0).any():
                     raise ValueError(f"the index of {name} misses a key")
-                n = len(keys)
-                starts = shard.starts.astype(np.int64)
+                new = np.r_[True, np.diff(keys[there]) != 0][: len(there)]
+                first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(there) else there
+                place[there] = found + np.arange(len(there)) - first
+                starts = shard.starts(0, n)
+                begin, size = starts[place], starts[place + 1] - starts[place]
+                upto = np.cumsum(size)
                 at = 0
                 while at < n:
-                    upto = max(at + 1, int(np.searchsorted(starts, starts[at] + _READ, "right")) - 1)
-                    ids = shard.ids(at, upto)
-                    cut = (starts[at : upto + 1] - starts[at]).tolist()
-                    sums = [crc(ids[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+                    to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + _READ, "right")))
+                    low = int(begin[at:to].min())
+                    ids = shard.ids(low, int((begin[at:to] + size[at:to]).max()))
+                    sums = [crc(ids[a - low : a - low + k]) for a, k in zip(begin[at:to].tolist(), size[at:to].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at:upto], mask=null[at:upto]), pa.array(starts[at:upto] + start), pa.array(np.diff(starts[at : upto + 1])), pa.array(sums, pa.int64())],
+                        [pa.array(keys[at:to], mask=null[at:to]), pa.array(begin[at:to] + start), pa.array(size[at:to]), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
-                    at = upto
+                    at = to
 
     rows = spark.createDataFrame([(s["name"], s["start"]) for s in shards], "name string, start long")
     return rows.repartition(max(1, len(shards)), "name").mapInArrow(run, _DIGEST)
