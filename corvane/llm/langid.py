@@ -1,14 +1,18 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the number of n-grams (one to three characters, lower-cased) that both have, over the root of the product of
-their numbers of n-grams: a blended-spectrum presence kernel. Landmarks chosen from the labelled sample give a Nyström approximation;
+their numbers of n-grams: a blended-spectrum presence kernel. An n-gram is known by a hash of SPACE values, so two that share a value count as one. Landmarks
+chosen from the labelled sample give a Nyström approximation;
 kernel ridge regression, one language against the rest, is fitted on it. A batch of texts is scored by two matrix products: presence of the
 landmarks' n-grams times the landmarks, then times the coefficients.
 
-The model is fitted on at most ``PER_LANGUAGE`` labelled texts of each language, chosen by a hash of doc_id; texts to predict are read whole, and only their text is used.
+The model is fitted on a bounded sample of the labelled texts: of each of the ``LANGUAGES`` most frequent languages the first
+``PER_LANGUAGE`` texts by a hash of doc_id and text, as long as they are within ``SAMPLE_BYTES`` together, those of up to ``TEXT_BYTES`` before longer ones.
+Texts to predict are read whole, and only their text is used.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a text none of whose n-grams any landmark has gets the language with
-the largest intercept; languages that are null aren't learned; with no labelled text every text is ``und``. Rows with one doc_id each give a row.
+the largest intercept; languages that are null aren't learned, nor those whose every text is beyond SAMPLE_BYTES; with no labelled text every text is
+``und``. Rows with one doc_id, or a null one, each give a row, and repeated rows count once in the sample.
 """
 
 from __future__ import annotations
@@ -18,11 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
+LANGUAGES = 200
+TEXT_BYTES = 64 << 10
+SAMPLE_BYTES = 4 << 20
 LANDMARKS = 48  # for each language
 RIDGE = 1e-3
 SPACE = 1 << 18
@@ -103,24 +110,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counts:
-        return None
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang and text of the labelled rows to learn from; at most LANGUAGES times ``per_language`` rows and SAMPLE_BYTES."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = named.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    key = F.xxhash64("doc_id", "text")
+    counts = labelled.groupBy("lang").agg(F.greatest(F.lit(1), F.approx_count_distinct(key)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     million = 1_000_000
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(million, -(-int(1.2 * per_language * million) // n)))).otherwise(share)
-    few = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share).collect()
-    rows = sorted(few, key=lambda r: (r.lang, (r.doc_id or 0) * 2654435761 % (1 << 32), r.text))
-    taken: dict[str, int] = {}
-    sample = []
-    for r in rows:
-        if taken.setdefault(r.lang, 0) < per_language and _has_letter(r.text):
-            taken[r.lang] += 1
-            sample.append(r)
-    return train([r.text for r in sample], [r.lang for r in sample])
+    shares = counts.select(F.col("lang").alias("of"), F.least(F.lit(million), F.ceil(F.lit(3 * per_language * million) / F.col("n"))).alias("share"))
+    few = labelled.join(F.broadcast(shares), F.col("lang") == F.col("of")).withColumn("key", key).filter(F.pmod("key", F.lit(million)) < F.col("share"))
+    few = few.select("lang", "key", F.octet_length("text").alias("bytes"), "text").dropDuplicates(["lang", "key"])
+    order = Window.partitionBy("lang").orderBy(F.col("bytes") > TEXT_BYTES, "key")
+    ranked = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    return ranked.withColumn("upto", F.sum("bytes").over(Window.partitionBy("lang").orderBy("rank"))).filter(F.col("upto") <= SAMPLE_BYTES).select("lang", "rank", "text")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+    rows = sorted(sample(docs, per_language).collect(), key=lambda r: (r.lang, r["rank"]))
+    return train([r.text for r in rows], [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
