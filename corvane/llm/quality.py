@@ -6,8 +6,9 @@ grows one threshold at a time on two thirds of the rows, is pruned from its end
 rows it covers leave, and the next rule is grown. ``verdict`` emits the rules as one ordered conditional.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Edge cases: null or empty texts have no words and fail the base rules; labels that are null, or whose
-document isn't there, aren't used; a doc_id with several rows or labels counts once for each; without labels of both
-kinds the list is empty and the base rules alone decide. Every row gives a row.
+document isn't there, aren't used; labels of one doc_id count once if they agree and not at all if they don't; rows with one doc_id and text
+count once, with different texts each; without labels of both kinds the list is empty and the base rules alone decide. Every row gives a row.
+Tables may have columns of any name: their rows travel as one struct beside the statistics.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-#: The list is fitted on about this many labelled rows at most, chosen by a hash of their doc_id.
+#: The list is fitted on about this many labelled rows at most, chosen by a hash of doc_id and text.
 MAX_LABELLED = 20_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -53,7 +54,7 @@ def _repeated(words: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, and its statistics in the struct ``__stats``."""
+    """All columns of ``docs``, which has none named ``__raw`` or ``__stats``, and its statistics in the struct ``__stats``."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -183,13 +184,24 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> list[Rule]:
     """Learn from ``labels`` (doc_id, quality: 0 is bad); about ``limit`` rows at most."""
-    known = labels.select(F.col("doc_id").cast("long").alias("__label_id"), (F.col("quality") == 0).alias("__bad")).filter("__label_id is not null and __bad is not null")
-    there = known.count()
+    flagged = labels.select(F.col("doc_id").cast("long").alias("__label_id"), (F.col("quality") == 0).alias("__bad")).filter("__label_id is not null and __bad is not null")
+    known = flagged.groupBy("__label_id").agg(F.min("__bad").alias("__bad"), F.max("__bad").alias("__too")).filter("__bad = __too").drop("__too")
     million = 1_000_000
-    share = million if there <= limit else int(million * limit / there)
-    # Bounded by ``limit`` above, and small: an id and a flag for each.
-    few = F.broadcast(known.filter(F.pmod(F.xxhash64("__label_id"), F.lit(million)) < share))
-    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(few, F.col("__id") == F.col("__label_id"))
+
+    def share(n: int) -> int:
+        return million if n <= limit else int(million * limit / n)
+
+    # Bounded by about ``limit``, and small: an id and a flag for each.
+    few = F.broadcast(known.filter(F.pmod(F.xxhash64("__label_id"), F.lit(million)) < share(known.count())))
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = named.select("__id").join(few, F.col("__id") == F.col("__label_id")).count()  # an id may have any number of rows
+    key = F.xxhash64("__id", "__text")
+    chosen = named.join(few, F.col("__id") == F.col("__label_id"))
+    if rows > limit:
+        chosen = chosen.withColumn("__key", key).dropDuplicates(["__key"])
+        chosen = chosen.filter(F.pmod(F.col("__key"), F.lit(million)) < share(chosen.count())).drop("__key")
+    else:
+        chosen = chosen.dropDuplicates(["__id", "__text"])
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(3)).cast("int")
     # Rows that the base rules reject leave here, not by a filter, which would be pushed below the join and so need every text's statistics.
     found = with_statistics(chosen, "__text").select(F.col("__bad").alias("bad"), fold.alias("fold"), base_failed().alias("out"), *[F.col(f"__stats.{f}") for f in FEATURES])
@@ -205,4 +217,5 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return with_statistics(docs, text_col).filter(~base_failed() & verdict(rules)).drop("__stats")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    return with_statistics(rows, "__text").filter(~base_failed() & verdict(rules)).select("__row.*")
