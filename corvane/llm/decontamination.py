@@ -7,8 +7,10 @@ list of a window's rarest term there, shifted by the term's place in the window,
 lists of the other terms from rare to frequent. What is left are exact phrase matches. ``proximity`` finds
 phrases whose words all lie within a distance instead.
 
-Benchmark items go to the segments in blocks of bounded bytes, so a large benchmark takes more blocks,
-not more memory.
+The benchmark's distinct windows are made on the executors and written as blocks of at most BLOCK_BYTES of text (or one item): a vocabulary, the windows
+as numbers in it, and their items. A task reads the blocks one after the other for each of its segments and keeps up to KEPT_BYTES of them for the next
+one, so a larger benchmark takes more reads, not more memory; neither the driver nor a broadcast holds it. The cost is segments times windows with
+known words: a window any of whose words a segment lacks leaves by one look-up of its block's vocabulary.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Edge cases: null or empty texts have no words
 and give a row with zeros; items without words match nothing; rows with one doc_id, or a null one, each give a row of their own;
@@ -18,6 +20,8 @@ item_ids count once however often they occur, null item_ids are left out. A docu
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, keyed_text, materialise
+from corvane.llm.common import chunks, filesystem, keyed_text, materialise, settle, work_folder
 
 WINDOW = 10
 SEGMENT_BYTES = 12 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+KEPT_BYTES = 48 << 20
 CANDIDATES = 2 << 20
 
 # A-Z to a-z; every ASCII byte but 0-9, a-z and A-Z to a space; bytes of other characters as they are.
@@ -79,32 +84,35 @@ class _Segment:
         self.counts = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.postings = np.frombuffer(row["postings"], np.uint32)
-        # The lists turned round: which term's list holds a place. A lookup here is a probe of that list.
-        self.holder = np.full(self.size + WINDOW, -1, np.int32)
-        self.holder[self.postings] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        # All lists after one another, as one ascending sequence of (term, place).
+        self.lists = np.repeat(np.arange(len(self.counts)) * (self.size + WINDOW), self.counts) + self.postings
+
+    def held(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each term's list has the place."""
+        wanted = term * (self.size + WINDOW) + place
+        at = np.minimum(np.searchsorted(self.lists, wanted), len(self.lists) - 1)
+        return self.lists[at] == wanted
 
     def documents(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, "right") - 1
 
 
-def _matches(segment: _Segment, windows: list[tuple[bytes, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _matches(segment: _Segment, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of a window, place of its first word) of every exact occurrence, in bounded pieces."""
-    known = [(i, [segment.number[w] for w in window]) for i, window in enumerate(windows) if all(w in segment.number for w in window)]
-    if not known:
+    number = np.array([segment.number.get(w, -2) for w in block.vocabulary] + [-1], np.int64)
+    terms = number[block.windows]  # -1 pads, -2 is unknown here
+    which = np.flatnonzero((terms > -2).all(axis=1))
+    if not len(which):
         return
-    which = np.array([i for i, _ in known])
-    length = np.array([len(t) for _, t in known])
-    terms = np.full((len(known), length.max()), -1, np.int64)
-    for row, (_, t) in enumerate(known):
-        terms[row, : len(t)] = t
+    terms = terms[which]
     counts = np.where(terms >= 0, segment.counts[terms], np.iinfo(np.int64).max)
     order = np.argsort(counts, axis=1, kind="stable")  # rarest first, padding last
-    rows = np.arange(len(known))
+    rows = np.arange(len(which))
     rarest = terms[rows, order[:, 0]]
     sizes = segment.counts[rarest]
     ends = np.cumsum(sizes)
     done = 0
-    while done < len(known):
+    while done < len(which):
         # As many windows as have CANDIDATES postings in their rarest lists; a longer single list is cut.
         upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CANDIDATES, "right")))
         part = rows[done:upto]
@@ -124,60 +132,100 @@ def _matches(segment: _Segment, windows: list[tuple[bytes, ...]]) -> Iterator[tu
                     break
                 slot = order[row, rank]
                 wanted = terms[row, slot]
-                held = np.minimum(begin + slot, segment.size)
-                stay = (wanted < 0) | (segment.holder[held] == wanted)
+                stay = wanted < 0
+                stay[~stay] = segment.held(wanted[~stay], (begin + slot)[~stay])
                 row, begin = row[stay], begin[stay]
             if len(row):
                 yield which[row], begin
 
 
-class Items:
-    """Distinct windows of benchmark items, and the items that have each."""
+class Block:
+    """Distinct windows of some benchmark items, and the items that have each."""
+
+    def __init__(self, vocabulary: list[bytes], windows: np.ndarray, ends: np.ndarray, items: list[str]):
+        self.vocabulary, self.windows, self.ends, self.items = vocabulary, windows, ends, items
+        self.lengths = (windows >= 0).sum(axis=1)
 
-    def __init__(self, rows: Iterable[tuple], window: int = WINDOW):
+    @classmethod
+    def of(cls, rows: Iterable[tuple], window: int) -> Block:
         holders: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in rows:
             found = words(text)
             for i in range(max(1, len(found) - window + 1) if found else 0):
-                holders.setdefault(tuple(found[i : i + window]), set()).add(item)
-        self.windows = list(holders)
-        self.items = [[str(x) for x in h if x is not None] for h in holders.values()]
+                held = holders.setdefault(tuple(found[i : i + window]), set())
+                if item is not None:
+                    held.add(item)
+        number = {w: k for k, w in enumerate({w for x in holders for w in x})}
+        windows = np.full((len(holders), window), -1, np.int32)
+        for row, x in enumerate(holders):
+            windows[row, : len(x)] = [number[w] for w in x]
+        return cls(list(number), windows, np.cumsum([len(x) for x in holders.values()]).astype(np.int64), [x for held in holders.values() for x in held])
+
+    def items_of(self, row: int) -> list[str]:
+        return self.items[self.ends[row - 1] if row else 0 : self.ends[row]]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """The benchmark as broadcasts of bounded size, fetched a partition at a time."""
-    sc = items.sparkSession.sparkContext
-    blocks, held, size = [], [], 0
-    for row in items.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1] or "")
-        if size >= BLOCK_BYTES:
-            blocks.append(sc.broadcast(Items(held, window)))
-            held, size = [], 0
-    return [*blocks, sc.broadcast(Items(held, window))]
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple[str, list[str]]:
+    """A folder with a file for each block of the benchmark, and the names of those that ended well."""
+    folder = work_folder(items.sparkSession, "benchmark-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = filesystem(folder)
+        system.create_dir(path)
+        for table in chunks(batches, max_bytes=BLOCK_BYTES, max_rows=1 << 20):
+            b = Block.of(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True), window)
+            if len(b.windows):
+                name = f"{uuid.uuid4().hex}.block"
+                with system.open_output_stream(f"{path}/{name}") as f:
+                    f.write(pickle.dumps(b, 5))
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    named = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return folder, sorted(r.name for r in named.mapInArrow(run, "name string").collect())  # a row for each block
+
+
+class _Reader:
+    """The blocks, from the shared folder; the first KEPT_BYTES of them stay for the next segment."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
+        self.kept: dict[str, Block] = {}
+        self.left = KEPT_BYTES
+
+    def __iter__(self) -> Iterator[Block]:
+        for name in self.names:
+            block = self.kept.get(name)
+            if block is None:
+                system, path = filesystem(self.folder)
+                with system.open_input_stream(f"{path}/{name}") as f:
+                    raw = f.read()
+                block = pickle.loads(raw)
+                if len(raw) <= self.left:
+                    self.left -= len(raw)
+                    self.kept[name] = block
+            yield block
 
 
 def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """For every indexed document: its words, those inside an occurrence of an item's window, and the items."""
     if window > WINDOW:
         raise ValueError(f"a window has {WINDOW} words at most")
-    blocks = _blocks(items, item_col, text_col, window)
+    folder, names = _blocks(items, item_col, text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Reader(folder, names)
         for batch in batches:
             for i in range(batch.num_rows):
                 segment = _Segment(batch.slice(i, 1).to_pylist()[0])
                 edge = np.zeros(segment.size + WINDOW + 1, np.int32)
                 pairs: dict[int, set[str]] = {}
                 for block in blocks:
-                    own = block.value
-                    lengths = np.array([len(w) for w in own.windows], np.int64)
-                    for which, begin in _matches(segment, own.windows):
+                    for which, begin in _matches(segment, block):
                         np.add.at(edge, begin, 1)
-                        np.add.at(edge, begin + lengths[which], -1)
+                        np.add.at(edge, begin + block.lengths[which], -1)
                         docs = segment.documents(begin)
                         for d, w in set(zip(docs.tolist(), which.tolist(), strict=True)):
-                            pairs.setdefault(d, set()).update(own.items[w])
+                            pairs.setdefault(d, set()).update(block.items_of(w))
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
                 n_hit = hit[segment.starts + segment.n_words] - hit[segment.starts]
                 found = [sorted(pairs.get(d, ())) for d in range(len(segment.ids))]
@@ -190,20 +238,21 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
 
 
 def proximity(index: DataFrame, phrases: dict[str, str], within: int) -> DataFrame:
-    """(phrase, doc_id, place): each place of a phrase's rarest word that has the phrase's other words, in any order, at most ``within`` words away in the same document. ``phrases`` is a short list of queries by name."""
-    queries = [(name, sorted(set(words(text)))) for name, text in phrases.items() if words(text)]
+    """(phrase, doc_id, place): each place of a phrase's first word that has the phrase's other words, in any order, at most ``within`` words away in the same
+    document; its list is intersected with the others from the rarest on. ``phrases`` is a short list of queries by name."""
+    queries = [(name, found[0], sorted(set(found) - {found[0]})) for name, text in phrases.items() if (found := words(text))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 segment = _Segment(batch.slice(i, 1).to_pylist()[0])
                 out: list[tuple] = []
-                for name, terms in queries:
-                    if not all(t in segment.number for t in terms):
+                for name, first, others in queries:
+                    if not all(t in segment.number for t in (first, *others)):
                         continue
-                    lists = sorted((segment.postings[segment.first[k] : segment.first[k + 1]].astype(np.int64) for k in map(segment.number.get, terms)), key=len)
-                    near = lists[0]
-                    for other in lists[1:]:
+                    held = lambda t: segment.postings[segment.first[segment.number[t]] : segment.first[segment.number[t] + 1]].astype(np.int64)  # noqa: B023, E731
+                    near = held(first)
+                    for other in sorted(map(held, others), key=len):
                         doc = segment.documents(near)
                         low = np.maximum(near - within, segment.starts[doc])
                         high = np.minimum(near + within, segment.starts[doc] + segment.n_words[doc] - 1)
@@ -217,7 +266,7 @@ def proximity(index: DataFrame, phrases: dict[str, str], within: int) -> DataFra
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The report of ``search`` on all documents, through an index of all of them."""
-    return search(build_index(docs, id_col, text_col), items)
+    return settle(lambda: search(build_index(docs, id_col, text_col), items), "contamination")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

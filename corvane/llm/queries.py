@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, html_extract, langid, line_dedup, packing, pii, quality, simhash, token_store, warc
 
@@ -28,6 +29,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
 
 
+#: Common words of the test tables, near each other in some documents.
+PHRASES = {"three": "the of and", "pair": "que los", "one": "und"}
+
+
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a phrase's first word with all its words at most three away, counted by phrase and document."""
+    index = decontamination.build_index(table(spark, sf_dir, "documents"))
+    return decontamination.proximity(index, PHRASES, 3).groupBy("phrase", "doc_id").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -60,7 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_pattern_packing, op2_token_store, op3_decontamination, op4_html_extraction, op5_personal_data,
-    op6_language, op7_warc, op8_line_dedup, op9_quality_rules, op10_simhash,
+    op6_language, op7_warc, op8_line_dedup, op9_quality_rules, op10_simhash, decontamination_proximity,
 )
 
 
@@ -107,5 +118,35 @@ from words left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+_PROXIMITY = r"""
+with words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') as w from documents
+), places as (
+    select doc_id, unnest(w) as word, unnest(range(0, len(w))) as place from words
+), phrases(phrase, first_word, others) as (
+    values ('three', 'the', ['of', 'and']), ('pair', 'que', ['los']), ('one', 'und', []::varchar[])
+), wanted as (
+    select phrase, unnest(others) as other from phrases
+), near as (
+    select distinct p.phrase, a.doc_id, a.place, o.word from phrases p join places a on a.word = p.first_word join wanted w on w.phrase = p.phrase join places o on o.doc_id = a.doc_id and o.word = w.other and abs(o.place - a.place) <= 3
+), full_ones as (
+    select phrase, doc_id, place from near join phrases using (phrase) group by phrase, doc_id, place having count(*) = any_value(len(others))
+    union all select p.phrase, a.doc_id, a.place from phrases p join places a on a.word = p.first_word where len(p.others) = 0
+)
+select phrase, doc_id, count(*) as n, min(place)::bigint as first_place from full_ones group by phrase, doc_id
+"""
+
+_ARCHIVE = r"""
+with hashed as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), best as (
+    select *, max(page_id) over (partition by h) as last_id from hashed
+)
+select page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::int) >> (15 - 5 * (i % 4))::int) & 31) + 1, 1) for i in range(32)], '') as payload_digest,
+    case when page_id = last_id then 'response' else 'revisit' end as record_type, case when page_id <> last_id then last_id end as refers_to
+from best
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": _LINES, "op3_decontamination": _WINDOWS}
+    return {"op8_line_dedup": _LINES, "op3_decontamination": _WINDOWS, "op7_warc": _ARCHIVE, "decontamination_proximity": _PROXIMITY}
