@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -76,6 +77,20 @@ def settle(make: Callable[[], DataFrame], tag: str) -> DataFrame:
     return out
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives its free memory back: it waits for its next task beside tasks of others."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return task
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """A file system and the path in it; works for file:, hdfs:, s3: and others that Arrow opens."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else "file://" + uri)

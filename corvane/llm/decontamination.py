@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, filesystem, keyed_text, materialise, settle, work_folder
+from corvane.llm.common import chunks, filesystem, keyed_text, materialise, released, settle, work_folder
 
 WINDOW = 10
 SEGMENT_BYTES = 12 << 20
@@ -72,7 +72,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each segment, written to the shared folder."""
-    return materialise(keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).mapInArrow(_index, _SEGMENTS), "postings")
+    return materialise(keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).mapInArrow(released(_index), _SEGMENTS), "postings")
 
 
 class _Segment:
@@ -234,7 +234,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                     ["doc_id", "row_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return index.mapInArrow(run, _REPORT)
+    return index.mapInArrow(released(run), _REPORT)
 
 
 def proximity(index: DataFrame, phrases: dict[str, str], within: int) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, keyed_text, materialise
+from corvane.llm.common import chunks, keyed_text, materialise, released
 
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -127,7 +127,7 @@ def _with_row_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """doc_id, row_hash, n_lines, n_dropped and keep_bitmap (zlib over bits, first line lowest) of rows that lose lines."""
-    lines = materialise(_with_row_hash(docs, id_col, text_col).mapInArrow(_settle_chunks(min_chars), _LINES), "line-hashes")
+    lines = materialise(_with_row_hash(docs, id_col, text_col).mapInArrow(released(_settle_chunks(min_chars)), _LINES), "line-hashes")
     streamed = (
         lines.filter(~F.col("lost")).select("h1", "h2", "doc_id", "row_hash", "n_lines", "positions")
         .repartitionByRange("h1", "h2")

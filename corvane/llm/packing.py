@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import keyed_text, materialise
+from corvane.llm.common import keyed_text, materialise, released
 from corvane.llm.tokens import crc, encoded
 
 CAPACITY = 4096
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                 ["doc_id", "piece", "start", "length", "ids_crc32", "spread"],
             )
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, _PIECES)
+    return keyed_text(docs, id_col, text_col).mapInArrow(released(run), _PIECES)
 
 
 def patterns(units: int) -> list[tuple[int, ...]]:

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import materialise, released
+
 WORDS = 5
 SIMILARITY = 0.8
 POSITIONS = 80
@@ -224,12 +226,10 @@ def _in_blocks(dense: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified edges (src, dst) between nodes of ``rows`` (doc_id, row_hash, node, keys, sketch, text)."""
-    from corvane.llm.common import materialise
-
     nodes = rows.filter(F.col("node") != EMPTY_NODE).select("node", "sketch", "keys").dropDuplicates(["node"])
     postings = nodes.select("node", "sketch", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
     minimum = minimum_matches(similarity)
-    met = materialise(postings.mapInArrow(_candidates(minimum), "src long, dst long, key long"), "candidates")
+    met = materialise(postings.mapInArrow(released(_candidates(minimum)), "src long, dst long, key long"), "candidates")
     found = met.filter("key is null").select("src", "dst").distinct()
     dense = met.filter("key is not null").select(F.col("src").alias("node"), "key")
     ends = met.select(F.col("src").alias("node")).union(met.filter("dst is not null").select("dst")).distinct()
@@ -240,6 +240,6 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     texts = materialise(texts, "texts")
     pairs = found.join(texts.select(F.col("of").alias("src"), F.col("text").alias("left_text")), "src")
     pairs = pairs.join(texts.select(F.col("of").alias("dst"), F.col("text").alias("right_text")), "dst")
-    verified = pairs.select("src", "dst", "left_text", "right_text").sortWithinPartitions("src").mapInArrow(_verified(words, similarity), "src long, dst long")
+    verified = pairs.select("src", "dst", "left_text", "right_text").sortWithinPartitions("src").mapInArrow(released(_verified(words, similarity)), "src long, dst long")
     members = _in_blocks(dense, texts).join(texts.withColumnRenamed("of", "node"), "node").select("key", "node", "sketch", "text")
-    return verified.union(members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_joined(words, similarity, minimum), "src long, dst long"))
+    return verified.union(members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(released(_joined(words, similarity, minimum)), "src long, dst long"))

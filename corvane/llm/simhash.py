@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import resemblance
-from corvane.llm.common import keyed_text, materialise, settle
+from corvane.llm.common import keyed_text, materialise, released, settle
 from corvane.llm.components import connected_components
 
 SHINGLE = 3
@@ -278,7 +278,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "row_hash")), *more, batch.column("text")], ["doc_id", "row_hash", "fp", "node", "keys", "sketch", "text"])
 
     schema = "doc_id long, row_hash long, fp long, node long, keys array<long>, sketch binary, text string"
-    return keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).mapInArrow(run, schema)
+    return keyed_text(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text")).mapInArrow(released(run), schema)
 
 
 def resemblance_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:

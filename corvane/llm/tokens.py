@@ -2,7 +2,7 @@
 
 A vocabulary file that lower-cases, drops white space and splits to runs of letters, digits and the rest gives a text the ids
 of its chunks between ASCII white space, one after the other. A worker keeps the ids of the chunks it has seen, and the
-library encodes only new ones, many at once. The memo has a bound; the ids don't depend on it. Texts of other files,
+library encodes only new ones, many at once. The memo has a bound, and between tasks its older half goes; the ids don't depend on it. Texts of other files,
 and texts with a special token's string, are encoded whole.
 
 Edge cases: a null text is empty, and has no ids but the end id.
@@ -132,6 +132,7 @@ def encoded(path: str, batches: Iterable[pa.RecordBatch], column: str = "text")
     own = encoder(path)
     for table in chunks(batches, column, BATCH_BYTES, 50_000):
         yield table, *own.encode(table.column(column).combine_chunks())
+    own.old = {}
 
 
 def crc(ids: np.ndarray) -> int:
