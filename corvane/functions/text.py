@@ -34,9 +34,10 @@ def slugify(c: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes, then tenths of KB or MB, from whole-number arithmetic."""
-    part = lambda unit: F.concat(F.floor(n / unit).cast("string"), F.lit("."), F.floor(F.pmod(n, F.lit(unit)) * 10 / unit).cast("string"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024 * 1024, F.concat(part(1024), F.lit("KB"))).otherwise(F.concat(part(1024 * 1024), F.lit("MB")))
+    """Bytes, then whole KB, then MB and tenths of it, from whole-number arithmetic."""
+    mega = 1024 * 1024
+    tenths = F.concat(F.floor(n / mega).cast("string"), F.lit("."), F.floor(F.pmod(n, F.lit(mega)) * 10 / mega).cast("string"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < mega, F.concat(F.floor(n / 1024).cast("string"), F.lit("KB"))).otherwise(F.concat(tenths, F.lit("MB")))
 
 
 def word_match(text: Column, word: str) -> Column:
@@ -71,29 +72,13 @@ def is_identifier(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z_$@][A-Za-z0-9_$.-]*$")
 
 
-def is_test_path(c: Column) -> Column:
-    return c.rlike(r"\.test\.|\.spec\.|__tests__/")
-
-
-def classify(query: Column) -> Column:
-    """The kind of a search: section, path glob, symbol glob, path, file name, identifier, several terms or free text."""
-    return (
-        F.when(query.rlike(r"^.+:\d+(-\d+)?$"), "section")
-        .when(query.rlike(r"[*?\[{]") & query.rlike(r"[/.]"), "file_glob")
-        .when(query.rlike(r"^[A-Za-z0-9_*?]*[*?][A-Za-z0-9_*?]*$"), "symbol_glob")
-        .when(F.contains(query, F.lit("/")), "path")
-        .when(query.rlike(r"^[A-Za-z0-9_-]+\.(rs|py|js|ts|go|java|md|json|toml|txt|html|css)$"), "file_name")
-        .when(is_identifier(query), "symbol")
-        .when(query.rlike(r"^\s*\S+(\s+\S+)+\s*$"), "concept")
-        .otherwise("text")
-    )
-
-
 def terminal_callable_key(c: Column) -> Column:
-    """What follows the last . or ::"""
-    return F.regexp_extract(c, r"([^.:]*)$", 1)
+    """What follows the last . or ::; where it ends the text, what comes before it; a separator alone gives nothing."""
+    return F.when(c.rlike(r"^(?s:.*)(?:\.|::)$"), F.regexp_extract(c, r"^((?s:.*?))(?:\.|::)$", 1)).when(c.rlike(r"\.|::"), F.regexp_extract(c, r"^(?s:.*)(?:\.|::)((?s:.+))$", 1)).otherwise(c)
 
 
 def is_external_link(c: Column) -> Column:
-    low = F.lower(c)
-    return low.rlike(r"^(https?:)?//") | F.startswith(low, F.lit("/")) | (low.rlike(r"^[a-z][a-z0-9+.-]*:") & ~low.rlike(r"^(data|javascript|mailto|tel):"))
+    """A link of a document that leaves the tree: from the root, or with a scheme that names a place."""
+    source = F.regexp_replace(c, r"^\s+|\s+$", "")
+    nowhere = (source == "") | source.rlike(r"(?i)^(?:#|[a-z]:[/\\]|data:|javascript:|mailto:|tel:)")
+    return ~nowhere & source.rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]+:)")

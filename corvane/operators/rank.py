@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import ascii_lower, is_test_path
+from corvane.functions import code, paths
+from corvane.functions.text import ascii_lower
 
 # Path parts and words that lower a score.
-VENDOR_DIRS = ("vendor", "node_modules", "third_party", "dist", "build")
+VENDOR_DIRS = ("node_modules", "vendor", "dist", "build", ".git", "target", "__pycache__", ".venv", "venv", "pkg", "out")
 FIXTURE_WORDS = ("mock", "fixture", "stub", "fake", "example")
 DOC_EXTENSIONS = ("md", "mdx", "txt", "rst")
 
@@ -33,8 +34,59 @@ def multi_word(path: Column, text: Column, query: str) -> Column:
     return F.when(n == len(found), 300).when(n >= len(found) - 1, 120).otherwise(0)
 
 
-def scope_proximity(depth: Column) -> Column:
-    return F.greatest(F.lit(0), 200 - 20 * depth)
+def scope_proximity(path: Column) -> Column:
+    """200, less 20 for each part of the path below the scope, the file's name included."""
+    return F.greatest(F.lit(0), 200 - 20 * F.size(F.split(path, "/")))
+
+
+def basename(path: Column, query: str) -> Column:
+    """How well the file's stem, or else its folder's name, is the query."""
+    at = F.split(path, "/")
+    own, q = ascii_lower(paths.stem(F.element_at(at, -1))), query.lower()
+    if not q:
+        return F.lit(0)
+    after = F.substring(own, len(q) + 1, 1)
+    folder = F.when(F.size(at) > 1, ascii_lower(F.element_at(at, -2))).otherwise("")
+    return (
+        F.when(own == q, 500).when(F.startswith(own, F.lit(q)) & after.isin("_", ".", "-"), 350).when(F.endswith(own, F.lit(q)), 250)
+        .when(_has(own, q), 180).when(folder == q, 200).otherwise(0)
+    )
+
+
+def context_proximity(folder: Column, root: Column, context_folder: str, context_root: str | None) -> Column:
+    """For matches near a file: 100 in its folder, 40 with two folders in common; 75 more in its package."""
+    near = F.when(folder == context_folder, 100).when(paths.shared_depth(folder, F.lit(context_folder)) >= 2, 40).otherwise(0)
+    return near + (_points(F.coalesce(root == context_root, F.lit(False)), 75) if context_root is not None else F.lit(0))
+
+
+def definition_name(name: Column, impl_target: Column, query: str) -> Column:
+    own, q = ascii_lower(name), query.lower()
+    points = F.when(name == query, 220).when(own == q, 180).when(F.coalesce(impl_target == query, F.lit(False)), 120).when(F.startswith(own, F.lit(q)), 80).when(_has(own, q), 40).otherwise(0)
+    return F.when(name.isNull(), 0).otherwise(points)
+
+
+def query_intent(text: Column, query: str) -> Column:
+    """A line that defines a type for a query with a capital, or a function for one without."""
+    head = F.regexp_replace(text, r"^\s+", "")
+    if query[:1].isupper():
+        return _points(code.begins(head, code.TYPE_BEGINS), 90)
+    return _points(code.begins(head, code.FUNCTION_BEGINS), 70) if query[:1].islower() else F.lit(0)
+
+
+def incidental(text: Column, ext: Column, is_definition: Column, query: str) -> Column:
+    """Comments: 150 for a whole line, 100 where only a trailing one has the query."""
+    t = code.trimmed(text)
+    comment = (F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("///"))) | code.begins(t, ("/*", "<!--")) | (F.startswith(t, F.lit("#")) & ext.isin(*code.HASH_COMMENT_EXTENSIONS))
+    low, q = ascii_lower(t), F.lit(query.lower())
+    at = F.instr(low, F.lit("//"))
+    before = F.substr(low, F.lit(1), at - 1)
+    trailing = (at > 1) & ~F.endswith(before, F.lit(":")) & F.contains(F.substr(low, at), q) & ~F.contains(before, q)
+    return F.when(is_definition, 0).when(comment, 150).when(trailing, 100).otherwise(0)
+
+
+def is_test_query(query: str) -> bool:
+    q = query.lower()
+    return "test" in q or "spec" in q or q.startswith("should")
 
 
 def recency(age_seconds: Column) -> Column:
@@ -43,7 +95,7 @@ def recency(age_seconds: Column) -> Column:
 
 
 def exported_api(text: Column) -> Column:
-    head = F.ltrim(text)
+    head = F.regexp_replace(text, r"^\s+", "")
     return F.when(F.startswith(head, F.lit("export default ")), 90).when(F.startswith(head, F.lit("export ")), 75).when(F.startswith(head, F.lit("pub ")), 60).otherwise(0)
 
 
@@ -62,8 +114,15 @@ def vendor(path: Column) -> Column:
     return _points(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, VENDOR_DIRS))), 200)
 
 
-def score(query: str, path: Column, ext: Column, depth: Column, est_lines: Column, text: Column, exact: Column) -> Column:
-    return (
-        _points(exact, 500) + multi_word(path, text, query) + scope_proximity(depth) + _points((est_lines > 0) & (est_lines < 200), 50) + exported_api(text)
-        - non_code(path, ext) - _points(is_test_path(path), 120) - fixture(path, text) - vendor(path)
-    )
+def terms(query: str, m: dict[str, Column]) -> dict[str, Column]:
+    """Each term of a match's score, penalties negative. ``m`` has the match's path, folder, name, ext, text, est_lines, age (seconds), is_definition, exact, def_name, def_weight, impl_target."""
+    return {
+        "weight": F.when(m["is_definition"], m["def_weight"] * 10).otherwise(0), "definition": F.when(m["is_definition"], definition_name(m["def_name"], m["impl_target"], query)).otherwise(0), "exact": _points(m["exact"], 500),
+        "intent": query_intent(m["text"], query), "words": multi_word(m["path"], m["text"], query), "proximity": scope_proximity(m["path"]), "recency": recency(m["age"]), "small": _points((m["est_lines"] > 0) & (m["est_lines"] < 200), 50),
+        "basename": basename(m["path"], query), "exported": exported_api(m["text"]), "non_code": -non_code(m["path"], m["ext"]), "incidental": -incidental(m["text"], m["ext"], m["is_definition"], query),
+        "tests": F.lit(0) if is_test_query(query) else -_points(paths.is_test_file(m["path"]), 120), "fixtures": -fixture(m["path"], m["text"]), "vendor": -vendor(m["path"]),
+    }
+
+
+def score(query: str, m: dict[str, Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms(query, m).values())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import edit_distance, in_order, normalize_ident, word_match
+from corvane.functions import code
+from corvane.functions.text import ascii_lower, edit_distance, in_order, normalize_ident, path_contains, word_match
 
 
 def literal(lines: DataFrame, term: str) -> DataFrame:
@@ -65,6 +68,41 @@ def suggest(lines: DataFrame, query: str) -> DataFrame:
     return near.filter((F.col("distance") <= bound) & (F.col("spelling") != query)).select("spelling", "distance", "first.path", "first.line")
 
 
+def line_range(value: str) -> tuple[int, int]:
+    """N or A-B, with A positive and B at least A."""
+    if m := re.fullmatch("([0-9]+)(?:-([0-9]+))?", value):
+        first, last = int(m[1]), int(m[2] or m[1])
+        if 0 < first <= last:
+            return first, last
+    raise ValueError(f"{value!r} is no positive line number or range of lines")
+
+
+def qualifiers(text: str, fields: tuple[str, ...]) -> list[tuple[str, str]]:
+    """field:value pairs between white space; fields in any case."""
+    out = []
+    for part in text.split():
+        field, colon, value = part.partition(":")
+        if not colon or not field or not value:
+            raise ValueError(f"{part!r} is no field:value")
+        if field.lower() not in fields:
+            raise ValueError(f"unknown field {field!r}; there are {', '.join(fields)}")
+        out.append((field.lower(), value))
+    return out
+
+
+def filtered(matches: DataFrame, text: str) -> DataFrame:
+    """Matches (path, name, line, text, is_definition, exact, file_type) that meet all qualifiers: path, file, text, kind, line."""
+    out = matches
+    for field, value in qualifiers(text, ("path", "file", "text", "kind", "line")):
+        if field == "line":
+            out = out.filter(F.col("line").between(*line_range(value)))
+        elif field == "kind":
+            out = out.filter(code.evidence_kind(F.col("is_definition"), F.col("exact"), F.col("file_type")) == value.replace("-", " "))
+        else:
+            out = out.filter(path_contains(F.col("path"), value) if field == "path" else F.contains("name" if field == "file" else "text", F.lit(value)))
+    return out
+
+
 def paged(found: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page under a total order. Only limit + offset rows leave each task."""
     return found.orderBy(*order).offset(offset).limit(limit)
@@ -96,3 +134,17 @@ def token_budget(lines: DataFrame, budget: int) -> DataFrame:
     """The lines of each file that fit a budget of tokens, less 50, at four bytes each."""
     upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("path").orderBy("line"))
     return lines.withColumn("bytes", upto.cast("long")).filter(F.col("bytes") <= (budget - 50) * 4)
+
+
+def nearest_names(names: DataFrame, wanted: str, most: int) -> DataFrame:
+    """For each path the ``most`` names (path, line, name) nearest to the wanted one; those that begin with it have distance 0; of equally near ones the first."""
+    low = ascii_lower(F.col("name"))
+    distance = F.when(F.startswith(low, F.lit(wanted.lower())), 0).otherwise(edit_distance(F.lit(wanted.lower()), low))
+    scored = names.withColumn("distance", distance)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("distance", "line"))).filter(F.col("rank") <= most)
+
+
+def nearest_files(files: DataFrame, wanted: str, most: int = 3) -> DataFrame:
+    """name and distance of the files nearest to the wanted name, within ``most`` bytes."""
+    near = files.select("name").distinct().withColumn("distance", edit_distance(F.col("name"), F.lit(wanted))).filter(F.col("distance") <= most)
+    return near.join(F.broadcast(near.agg(F.min("distance").alias("least"))), F.col("distance") == F.col("least")).drop("least")  # one row

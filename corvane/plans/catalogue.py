@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import graph, rank, search, spans
+from corvane.plans import registry
+from corvane.plans.registry import Query, query
 from corvane.sources import adapters
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 TERMS = ["the", "of the", "que", "und"]
 
 FILES = """files as (
@@ -27,17 +23,8 @@ CALLS = """calls as (
     select o_orderpriority as path, l_orderkey as line, c_nationkey as caller, s_nationkey as callee, nullif(c_mktsegment, 'MACHINERY') as receiver, l_linenumber as args
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
 )"""
-EDGES = CALLS + ", edges as (select caller as src, callee as dst, count(*) as n from calls group by 1, 2 order by n desc, src, dst limit 90)"
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+#: A sparse graph with as many nodes as customers: each order is an edge.
+EDGES = "edges as (select o_custkey as src, o_orderkey // 10 as dst, count(*) as n from orders group by 1, 2)"
 
 
 def files_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,13 +36,8 @@ def lines_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges_of(spark: SparkSession, sf: str) -> DataFrame:
-    """All edges."""
-    return adapters.call_graph(adapters.call_sites(spark, sf), None)
-
-
-def heaviest_of(spark: SparkSession, sf: str) -> DataFrame:
-    """The edges of EDGES, for queries whose SQL reads those alone."""
-    return adapters.call_graph(adapters.call_sites(spark, sf))
+    orders = adapters.table(spark, sf, "orders")
+    return adapters.call_graph(orders.select(F.col("o_custkey").alias("caller"), F.floor(F.col("o_orderkey") / 10).alias("callee")))
 
 
 # --- search over lines ---------------------------------------------------------------------------------------------
@@ -134,17 +116,6 @@ def token_budget_prefix(spark, sf):
     return search.token_budget(lines_of(spark, sf), 600)
 
 
-@query("with " + LINES + """, s as (select path, line, case when regexp_matches(text, 'return|throw|raise') then 100 when contains(text, '|') then 10 when trim(text) = '' then 0 else 5 end as score from lines)
-    select path, line, score from (select *, row_number() over (partition by path order by score desc, line) as k, count(*) over (partition by path) as n from s) where n < 80 or k <= 40""")
-def diverse_lines(spark, sf):
-    from pyspark.sql import Window
-
-    score = F.when(F.col("text").rlike("return|throw|raise"), 100).when(F.contains("text", F.lit("|")), 10).when(F.trim("text") == "", 0).otherwise(5)
-    scored = lines_of(spark, sf).select("path", "line", score.alias("score"))
-    ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "line"))).withColumn("n", F.count("*").over(Window.partitionBy("path")))
-    return ranked.filter("n < 80 or k <= 40").select("path", "line", "score")
-
-
 @query("with " + LINES + """ select path, line, text from lines where line <= 2""")
 def head_preview(spark, sf):
     return lines_of(spark, sf).filter("line <= 2")
@@ -196,22 +167,12 @@ def filter_qualifiers(spark, sf):
 
 
 @query("with " + FILES + """ select path, ceil(byte_len / 4)::bigint as tokens, greatest(1, byte_len // 40)::bigint as est_lines, levenshtein(name, 'doc_42.txt') as distance,
-    case when byte_len < 1024 then byte_len || 'B' when byte_len < 1048576 then (byte_len // 1024) || '.' || ((byte_len % 1024) * 10 // 1024) || 'KB' else (byte_len // 1048576) || '.' || ((byte_len % 1048576) * 10 // 1048576) || 'MB' end as size_text from files""")
+    case when byte_len < 1024 then byte_len || 'B' when byte_len < 1048576 then (byte_len // 1024) || 'KB' else (byte_len // 1048576) || '.' || ((byte_len % 1048576) * 10 // 1048576) || 'MB' end as size_text from files""")
 def file_scalars(spark, sf):
     n = F.col("byte_len")
     return files_of(spark, sf).select("path", T.estimate_tokens(F.col("content")).alias("tokens"), F.greatest(F.lit(1), F.floor(n / 40)).cast("long").alias("est_lines"), T.edit_distance(F.col("name"), F.lit("doc_42.txt")).alias("distance"), T.format_size(n).alias("size_text"))
 
 
-@query(r"""with q as (select p_partkey, p_name || case p_size % 6 when 0 then ':12' when 1 then '/x' when 2 then '.py' when 3 then '*' when 4 then ' and' else '' end as query from part)
-    select p_partkey, query, case when regexp_matches(query, '^.+:\d+(-\d+)?$') then 'section' when regexp_matches(query, '[*?\[{]') and regexp_matches(query, '[/.]') then 'file_glob'
-    when regexp_matches(query, '^[A-Za-z0-9_*?]*[*?][A-Za-z0-9_*?]*$') then 'symbol_glob' when contains(query, '/') then 'path' when regexp_matches(query, '^[A-Za-z0-9_-]+\.(rs|py|js|ts|go|java|md|json|toml|txt|html|css)$') then 'file_name'
-    when regexp_matches(query, '^[A-Za-z_$@][A-Za-z0-9_$.-]*$') then 'symbol' when regexp_matches(query, '^\s*\S+(\s+\S+)+\s*$') then 'concept' else 'text' end as kind from q""")
-def classify_queries(spark, sf):
-    size = F.col("p_size") % 6
-    ends = F.when(size == 0, ":12").when(size == 1, "/x").when(size == 2, ".py").when(size == 3, "*").when(size == 4, " and").otherwise("")
-    return adapters.table(spark, sf, "part").select("p_partkey", F.concat("p_name", ends).alias("query")).withColumn("kind", T.classify(F.col("query")))
-
-
 @query("with " + FILES + """, p as (select dir, byte_len, unnest([string_split(dir, '/')[1], dir]) as prefix from files) select prefix, sum(ceil(byte_len / 4))::bigint as tokens, count(*) as n_files from p group by prefix""")
 def dir_rollup(spark, sf):
     parts = F.split("dir", "/")
@@ -229,7 +190,7 @@ def nav_candidates(spark, sf):
 
 
 @query(r"""with l as (select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) as href from pages)
-    select page_id, href, case when regexp_matches(lower(href), '^(https?:)?//') or starts_with(href, '/') then 'external' else 'local' end as kind, count(*) as n from l group by all""")
+    select page_id, href, case when starts_with(trim(href), '/') or (regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.-]+:') and not regexp_matches(lower(trim(href)), '^(data|javascript|mailto|tel):')) then 'external' else 'local' end as kind, count(*) as n from l group by all""")
 def html_links(spark, sf):
     found = adapters.table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
     return found.groupBy("page_id", "href", F.when(T.is_external_link(F.col("href")), "external").otherwise("local").alias("kind")).agg(F.count("*").alias("n"))
@@ -280,7 +241,7 @@ def callers_filtered(spark, sf):
 @query("with recursive " + EDGES + """, walk as (select 7 as node, 0 as hop union all select src, hop + 1 from walk join edges on dst = node where hop < 3), dist as (select node, min(hop) as hop from walk group by node)
     select (hop + 1)::int as hop, src, dst from edges join dist on dst = node where hop < 3""")
 def callers_bfs(spark, sf):
-    return graph.callers_bfs(heaviest_of(spark, sf).select("src", "dst"), [7], 3)
+    return graph.callers_bfs(edges_of(spark, sf).select("src", "dst"), [7], 3)
 
 
 @query()
@@ -290,12 +251,12 @@ def callers_bfs_guarded(spark, sf):
 
 @query("with " + EDGES + """, f as (select distinct src from edges where dst = 7), n as (select count(*) <= 10 as few from f) select distinct src, dst from edges, n where few and dst in (select src from f) and dst <> 7""")
 def callers_second_hop(spark, sf):
-    return graph.second_hop(heaviest_of(spark, sf), 7)
+    return graph.second_hop(edges_of(spark, sf), 7)
 
 
 @query("with " + EDGES + """ select a.src, b.dst, min(a.dst) as via from edges a join edges b on a.dst = b.src group by 1, 2 having count(*) = 1""")
 def unique_chain(spark, sf):
-    return graph.unique_chains(heaviest_of(spark, sf))
+    return graph.unique_chains(edges_of(spark, sf))
 
 
 @query("""with d as (select p_brand as name, case p_size % 3 when 0 then 1 when 1 then 2 else 3 end as stage, p_partkey as ord, p_type as path from part)
@@ -318,17 +279,19 @@ def assess_groups(spark, sf):
     return adapters.call_sites(spark, sf).groupingSets([["path"], ["receiver"], ["args"]], "path", "receiver", "args").agg(F.count("*").alias("n"), F.count_distinct("caller").alias("callers")).select("path", "receiver", "args", "n", "callers")
 
 
-@query("with " + CALLS + " select caller as src, callee as dst, count(*) as n, min(path) as source_file from calls where caller <> callee and caller < 15 and callee < 15 group by 1, 2")
+@query("with " + CALLS + " select caller as src, callee as dst, count(*) as n, min(path) as source_file from calls where caller <> callee group by 1, 2")
 def relations(spark, sf):
-    calls = adapters.call_sites(spark, sf).filter("caller < 15 and callee < 15 and caller <> callee")
+    calls = adapters.call_sites(spark, sf).filter("caller <> callee")
     return calls.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n"), F.min("path").alias("source_file"))
 
 
-@query("with " + CALLS + " select caller as src, callee as dst, count(*) as n from calls where caller < 15 and callee >= 15 group by 1, 2")
+@query("with " + CALLS + """, visible as (select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE'))
+    select caller as src, callee as dst, count(*) as n from calls where caller in (from visible) and callee not in (from visible) group by 1, 2""")
 def outbound_relations(spark, sf):
+    nations = adapters.table(spark, sf, "nation").join(adapters.table(spark, sf, "region").filter(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     calls = adapters.call_sites(spark, sf)
-    visible = calls.filter("caller < 15").select(F.col("caller").alias("callee")).distinct()
-    return calls.filter("caller < 15").join(visible, "callee", "left_anti").groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n"))
+    inside = calls.join(nations.select(F.col("n_nationkey").alias("caller")), "caller", "left_semi").join(nations.select(F.col("n_nationkey").alias("callee")), "callee", "left_anti")
+    return inside.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n"))
 
 
 @query("with " + CALLS + " select path, caller, min(line) as first_line from calls where callee in (3, 5, 8) group by 1, 2")
@@ -354,14 +317,14 @@ def next_actions_dedupe(spark, sf):
 
 # --- intervals -----------------------------------------------------------------------------------------------------
 
-SPANS = """spans as (select l_suppkey as path, l_orderkey * 10 + l_linenumber as id, l_partkey as first, l_partkey + l_linenumber * l_linenumber as last from lineitem where l_linenumber <= 4),
-points as (select distinct l_suppkey as path, l_partkey as "at" from lineitem where l_linenumber = 5)"""
+SPANS = """spans as (select l_suppkey as path, l_orderkey * 10 + l_linenumber as id, l_partkey as first, l_partkey + l_linenumber * l_linenumber as last from lineitem),
+points as (select distinct l_suppkey as path, l_partkey + 3 as "at" from lineitem)"""
 
 
 def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     l = adapters.table(spark, sf, "lineitem")  # noqa: E741
-    held = l.filter("l_linenumber <= 4").select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_linenumber") * F.col("l_linenumber")).alias("last"))
-    return held, l.filter("l_linenumber = 5").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("at")).distinct()
+    held = l.select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_linenumber") * F.col("l_linenumber")).alias("last"))
+    return held, l.select(F.col("l_suppkey").alias("path"), (F.col("l_partkey") + 3).alias("at")).distinct()
 
 
 @query("with " + SPANS + """, i as (select p.path, "at", id, last - first as size from points p join spans s on p.path = s.path and first <= "at" and "at" <= last),
@@ -371,8 +334,8 @@ def narrowest_owner(spark, sf):
     return spans.narrowest_owner(points, held)
 
 
-@query("with " + SPANS + """, m as (select *, case when max(last) over w is null or first > max(last) over w + 1 then 1 else 0 end as new from spans window w as (partition by path order by first, last rows between unbounded preceding and 1 preceding)),
-    g as (select *, sum(new) over (partition by path order by first, last rows between unbounded preceding and current row) as island from m) select path, min(first) as first, max(last) as last, count(*) as n from g group by path, island""")
+@query("with " + SPANS + """, m as (select *, case when max(last) over w is null or first > max(last) over w + 1 then 1 else 0 end as new from spans window w as (partition by path order by first, last, id rows between unbounded preceding and 1 preceding)),
+    g as (select *, sum(new) over (partition by path order by first, last, id rows between unbounded preceding and current row) as island from m) select path, min(first) as first, max(last) as last, count(*) as n from g group by path, island""")
 def range_merge(spark, sf):
     return spans.merge_ranges(_spans(spark, sf)[0])
 
@@ -386,19 +349,6 @@ def innermost_binding_asof(spark, sf):
 
 # --- ranking, counts and folds -------------------------------------------------------------------------------------
 
-_FIXTURE = " + ".join(f"case when contains(lower(path), '{w}') then 90 else 0 end + case when contains(lower(text), '{w}') then 40 else 0 end" for w in rank.FIXTURE_WORDS)
-
-
-@query("with " + LINES + f""" select path, line, 500 * contains(text, 'thing')::int + case contains(lower(path || ' ' || text), 'thing')::int + contains(lower(path || ' ' || text), 'of')::int when 2 then 300 when 1 then 120 else 0 end
-    + 160 + case when greatest(1, byte_len // 40) < 200 then 50 else 0 end - 250 - least(200, {_FIXTURE}) as score from lines join files using (path) where contains(text, 'thin')""")
-def rank_score(spark, sf):
-    files = files_of(spark, sf)
-    lines = adapters.lines(files).filter(F.contains("text", F.lit("thin")))
-    about = files.select("path", "ext", (F.col("depth")).alias("depth"), F.greatest(F.lit(1), F.floor(F.col("byte_len") / 40)).alias("est"))
-    score = rank.score("thing of", F.col("path"), F.col("ext"), F.col("depth"), F.col("est"), F.col("text"), F.contains("text", F.lit("thing")))
-    return lines.join(about, "path").select("path", "line", score.alias("score"))
-
-
 @query("""with e as (select event_id, epoch((select max(ts) from events))::bigint - epoch(ts)::bigint as age from events)
     select event_id, case when age <= 3600 then 100 when age <= 86400 then 80 when age <= 604800 then 50 when age <= 2592000 then 20 else 0 end as points from e""")
 def recency_points(spark, sf):
@@ -435,16 +385,12 @@ def budget_fold(spark, sf):
     return items.select("l_orderkey", F.aggregate("items", start, step).alias("r")).select("l_orderkey", "r.used", "r.taken")
 
 
-@query("with " + LINES + """ select path, count(*) filter (where contains(text, ' | ')) as n_tables, count(*) filter (where not contains(text, ' | ') and contains(text, '!!')) as n_shouts, count(*) filter (where not contains(text, ' | ') and not contains(text, '!!')) as n_plain from lines group by path""")
-def page_evidence_counts(spark, sf):
-    """Lines of each file by kind; the first kind that fits counts."""
-    table, shout = F.contains("text", F.lit(" | ")), F.contains("text", F.lit("!!"))
-    return lines_of(spark, sf).groupBy("path").agg(F.count_if(table).alias("n_tables"), F.count_if(~table & shout).alias("n_shouts"), F.count_if(~table & ~shout).alias("n_plain"))
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from corvane.plans import code, intervals, navigation, texts  # noqa: F401  (they register their queries)
+
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(registry.SQL)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that a walk never enters.
-SKIP_DIRS = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv", "venv", "vendor", ".next", ".cache", "coverage")
+# Folders that a walk never enters, and those of them that it does for built artifacts.
+SKIP_DIRS = (
+    ".git", "node_modules", "target", "dist", "build", "__pycache__", ".pycache", "vendor", ".next", ".nuxt", "coverage", ".cache", ".tox", ".venv", ".eggs", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".turbo", ".parcel-cache",
+    ".svelte-kit", "out", ".output", ".vercel", ".netlify", ".gradle", ".idea", ".scala-build", "target", ".bloop", ".metals",
+)
+ARTIFACT_DIRS = ("dist", "build", "out", ".next", ".nuxt", ".output")
 SIZE_CAP = 500_000
 
 
@@ -30,10 +36,17 @@ def document_files(documents: DataFrame) -> DataFrame:
     return with_parts(documents.select(path.alias("path"), F.col("text").alias("content")))
 
 
-def walk(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+def in_skipped(path: Column, artifacts: bool = False) -> Column:
+    """A path with a folder that a walk doesn't enter."""
+    skipped = [d for d in SKIP_DIRS if not (artifacts and d in ARTIFACT_DIRS)]
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, skipped)))
+
+
+def walk(spark: SparkSession, root: str, glob: str = "*", artifacts: bool = False) -> DataFrame:
     """Files below a folder, without skipped folders, empty, over-large and binary files. Path and length prune before content is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    kept = found.filter((F.col("length") > 0) & (F.col("length") <= SIZE_CAP) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_DIRS))))
+    below = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(re.sub("^(?:file:)?/*", "", root).rstrip("/")) + "/?", "")
+    kept = found.filter((F.col("length") > 0) & (F.col("length") <= SIZE_CAP) & ~in_skipped(below, artifacts))
     text = kept.filter(~is_binary(F.col("content")))
     return with_parts(text.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").cast("string").alias("content")))
 
@@ -63,7 +76,6 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def call_graph(calls: DataFrame, most: int | None = 90) -> DataFrame:
-    """The ``most`` heaviest edges (src, dst, n), ties by src and dst; all edges if it is None."""
-    edges = calls.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n"))
-    return edges if most is None else edges.orderBy(F.desc("n"), "src", "dst").limit(most)
+def call_graph(calls: DataFrame) -> DataFrame:
+    """Edges (src, dst, n)."""
+    return calls.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("n"))
