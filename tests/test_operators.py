@@ -93,3 +93,13 @@ def test_filters_are_read_strictly():
     for bad in ("0", "7-3", "a", "-3", "3-", ""):
         with pytest.raises(ValueError):
             search.line_range(bad)
+
+
+def test_python_that_does_not_parse_is_told(spark):
+    from corvane.operators import syntax
+
+    files = spark.createDataFrame([("a.py", "def f(:\n"), ("b.py", "def g(): return h(1)"), ("c.py", None), ("d.py", "x = 0\0"), ("e.py", "#" * 600_000)], "path string, content string")
+    assert {r.path for r in syntax.errors(files).collect()} == {"a.py", "d.py", "e.py"}
+    assert [(r.path, r.name, r.signature) for r in syntax.outline(files).collect()] == [("b.py", "g", "def g(): return h(1)")]
+    assert [(r.path, r.callee, r.caller, r.returned) for r in syntax.calls(files).collect()] == [("b.py", "h", "g", True)]
+    assert syntax.outline(files.limit(0)).count() == 0
