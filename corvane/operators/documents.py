@@ -132,3 +132,52 @@ def around_anchor(lines: DataFrame, anchor: int, cap: int) -> DataFrame:
     begin = F.least(F.greatest(F.lit(0), at - around // 2), F.greatest(F.lit(0), n - around))
     keep = F.when((n <= cap) | (at < cap), index < cap).otherwise((index < head) | ((index >= begin) & (index < begin + around)))
     return lines.withColumn("__n", F.max("line").over(whole)).filter(keep).drop("__n")
+
+
+def section_of(lines: DataFrame, heading: str) -> DataFrame:
+    """path, first and last of the section of the first line that is the heading, as far as it is given, outside ``` blocks: to the next heading of its level or a higher one."""
+    wanted = heading.rstrip()
+    level = len(wanted) - len(wanted.lstrip("#"))
+    if not level:
+        return lines.select("path", F.lit(0).alias("first"), F.lit(0).alias("last")).limit(0)
+    t = F.regexp_replace("text", r"\s+$", "")
+    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    told = lines.select("path", "line", t.alias("t"), F.max("line").over(Window.partitionBy("path")).alias("total")).withColumn("inside", F.sum(F.startswith("t", F.lit("```")).cast("int")).over(upto) % 2 == 1)
+    outside = told.filter(~F.col("inside") & F.startswith("t", F.lit("#")))
+    is_it = (F.col("t") == wanted) | (F.startswith("t", F.lit(wanted)) & F.substring("t", len(wanted) + 1, 1).isin(" ", "\t", "{", "#"))
+    first = F.min(F.when(is_it, F.col("line"))).over(Window.partitionBy("path"))
+    deep = F.length(F.regexp_extract("t", "^(#*)", 1))
+    found = outside.withColumn("first", first).filter(F.col("first").isNotNull())
+    return found.groupBy("path", "first").agg(F.min(F.when((F.col("line") > F.col("first")) & (deep <= level), F.col("line") - 1)).alias("next"), F.max("total").alias("total")).select("path", "first", F.coalesce("next", "total").cast("int").alias("last"))
+
+
+def data_keys(files: DataFrame, most: int = 1000) -> DataFrame:
+    """path, ord, depth, key and value of TOML files (path, content) to depth 2, by the standard library's parser; a file that doesn't parse gives its error as value."""
+    import tomllib
+
+    def walk(table: dict, depth: int, out: list) -> None:
+        for key, value in table.items():
+            if isinstance(value, dict):
+                out.append((depth, key, f"{{{len(value)} keys}}" if depth >= 2 else None))
+                if depth < 2:
+                    walk(value, depth + 1, out)
+            else:
+                shown = f"[{len(value)} items]" if isinstance(value, list) else f'"{value}"' if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+                raw = shown.encode()
+                out.append((depth, key, shown if len(raw) <= 40 or isinstance(value, list) else raw[:37].decode(errors="ignore") + "..."))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found: list = []
+                try:
+                    walk(tomllib.loads(content or ""), 0, found)
+                except tomllib.TOMLDecodeError as error:
+                    found = [(0, None, f"parse error: {error}")]
+                rows += [{"path": path, "ord": k, "depth": d, "key": key, "value": v} for k, (d, key, v) in enumerate(found[:most], 1)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("ord", pa.int32()), ("depth", pa.int32()), ("key", pa.string()), ("value", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, ord int, depth int, key string, value string")

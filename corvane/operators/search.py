@@ -15,6 +15,10 @@ def literal(lines: DataFrame, term: str) -> DataFrame:
     return lines.filter(F.contains("text", F.lit(term)))
 
 
+def regex(lines: DataFrame, pattern: str) -> DataFrame:
+    return lines.filter(F.col("text").rlike(pattern))
+
+
 def usages(lines: DataFrame, term: str) -> DataFrame:
     return lines.filter(F.contains("text", F.lit(term)) & word_match(F.col("text"), term))
 
