@@ -24,7 +24,8 @@ UNIQUE = ("python", "c", "cpp")
 
 def imports(lines: DataFrame) -> DataFrame:
     """path, line, language and source of import lines (path, name, line, text)."""
-    told = lines.withColumn("language", paths.language(F.col("name")))
+    maybe = lines.filter(F.col("text").rlike(r"\b(?:use|import|export|from|require)\b|^\s*#include"))  # one cheap look before the patterns by language
+    told = maybe.withColumn("language", paths.language(F.col("name")))
     t, language = F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), ";+$", ""), F.col("language")
     part = lambda pattern: F.regexp_extract(t, pattern, 1)
     quotes = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "^[\"';]+|[\"';]+$", "")

@@ -77,9 +77,7 @@ def previews(lines: DataFrame) -> DataFrame:
     """For each textual file its first line that tells something, of 40: a comment that documents before any other, 80 characters without marks."""
     t = code.trimmed(F.col("text"))
     documents = code.begins(t, ("///", "//!", "/**", "/*!", '"""', "'''", "@doc", "# ", "## "))
-    plain = t
-    for mark in (r"^(?:///)+", r"^(?://!)+", r"^(?://)+", r"^(?:/\*\*)+", r"^(?:/\*!)+", r"^(?:/\*)+", r"^(?:\*/)+", r"^\*+", r'^(?:""")+', r"^(?:''')+", "^#+"):
-        plain = F.regexp_replace(plain, mark, "")
-    plain = code.trimmed(plain)
+    marks = r"""^(?:///)*(?://!)*(?://)*(?:/\*\*)*(?:/\*!)*(?:/\*)*(?:\*/)*\**(?:\"\"\")*(?:''')*#*"""
+    plain = code.trimmed(F.regexp_replace(t, marks, ""))
     kept = lines.filter((F.col("line") <= 40) & paths.is_textual(F.col("name")) & (t != "") & ~F.startswith(t, F.lit("#!")) & plain.rlike(r"\p{L}"))
     return kept.select("path", F.struct((~documents).alias("other"), "line", F.substring(plain, 1, 80).alias("text")).alias("x")).groupBy("path").agg(F.min("x").alias("x")).select("path", "x.line", F.col("x.text").alias("preview"))

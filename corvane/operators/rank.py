@@ -105,24 +105,39 @@ def non_code(path: Column, ext: Column) -> Column:
     return _points(docs, 250) + _points(sample, 80) + _points(_has(path, "generated"), 150)
 
 
-def fixture(path: Column, text: Column) -> Column:
-    terms = [_points(_has(ascii_lower(c), w), n) for w in FIXTURE_WORDS for c, n in ((path, 90), (text, 40))]
-    return F.least(F.lit(200), reduce(lambda a, b: a + b, terms))
+def _fixture_points(c: Column, each: int) -> Column:
+    low = ascii_lower(c)
+    return reduce(lambda a, b: a + b, (_points(_has(low, w), each) for w in FIXTURE_WORDS))
+
+
+def fixture(path_points: Column, text: Column) -> Column:
+    """What a path (``_fixture_points`` of 90) and a line say of fixtures, 200 at most."""
+    return F.least(F.lit(200), path_points + _fixture_points(text, 40))
 
 
 def vendor(path: Column) -> Column:
     return _points(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, VENDOR_DIRS))), 200)
 
 
-def terms(query: str, m: dict[str, Column]) -> dict[str, Column]:
-    """Each term of a match's score, penalties negative. ``m`` has the match's path, folder, name, ext, text, est_lines, age (seconds), is_definition, exact, def_name, def_weight, impl_target."""
+def file_terms(query: str, path: Column, ext: Column, est_lines: Column, age: Column) -> dict[str, Column]:
+    """The terms of a match's score that its file decides, and ``fixture_path`` for ``line_terms``. They are computed for each file, before matches join them."""
+    return {
+        "proximity": scope_proximity(path), "recency": recency(age), "small": _points((est_lines > 0) & (est_lines < 200), 50), "basename": basename(path, query), "non_code": -non_code(path, ext),
+        "tests": F.lit(0) if is_test_query(query) else -_points(paths.is_test_file(path), 120), "vendor": -vendor(path), "fixture_path": _fixture_points(path, 90),
+    }
+
+
+def line_terms(query: str, m: dict[str, Column]) -> dict[str, Column]:
+    """The terms that a match itself decides: ``m`` has its path, ext, text, is_definition, exact, def_name, def_weight, impl_target and its file's fixture_path."""
     return {
         "weight": F.when(m["is_definition"], m["def_weight"] * 10).otherwise(0), "definition": F.when(m["is_definition"], definition_name(m["def_name"], m["impl_target"], query)).otherwise(0), "exact": _points(m["exact"], 500),
-        "intent": query_intent(m["text"], query), "words": multi_word(m["path"], m["text"], query), "proximity": scope_proximity(m["path"]), "recency": recency(m["age"]), "small": _points((m["est_lines"] > 0) & (m["est_lines"] < 200), 50),
-        "basename": basename(m["path"], query), "exported": exported_api(m["text"]), "non_code": -non_code(m["path"], m["ext"]), "incidental": -incidental(m["text"], m["ext"], m["is_definition"], query),
-        "tests": F.lit(0) if is_test_query(query) else -_points(paths.is_test_file(m["path"]), 120), "fixtures": -fixture(m["path"], m["text"]), "vendor": -vendor(m["path"]),
+        "intent": query_intent(m["text"], query), "words": multi_word(m["path"], m["text"], query), "exported": exported_api(m["text"]), "incidental": -incidental(m["text"], m["ext"], m["is_definition"], query), "fixtures": -fixture(m["fixture_path"], m["text"]),
     }
 
 
+FILE_TERMS = ("proximity", "recency", "small", "basename", "non_code", "tests", "vendor")
+
+
 def score(query: str, m: dict[str, Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms(query, m).values())
+    """The score of matches that carry their file's terms as columns."""
+    return reduce(lambda a, b: a + b, [*line_terms(query, m).values(), *(m[k] for k in FILE_TERMS)])

@@ -1,7 +1,8 @@
 """Interval operators. All have an equality on the file, so intervals are compared only within one.
 
-Points meet the spans around them by bins instead of by a range join: a span of up to 2^k positions lies in at most two bins of that width, and a
-point asks one bin of each width that occurs. So a point meets few spans but those around it, however many a file has.
+Points meet the spans around them by bins instead of by a range join: a span lies in at most two bins of the least of WIDTHS that is as long as it
+(one beyond the last in as many as it is long), and a point asks one bin of each width. So a point meets few spans but those around it, however
+many a file has.
 """
 
 from __future__ import annotations
@@ -10,17 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Powers of two.
+WIDTHS = (0, 2, 4, 6, 8, 10, 12)
+
+
 def _width(first: str, last: str) -> Column:
-    return F.ceil(F.log2((F.col(last) - F.col(first) + 1).cast("double"))).cast("int")
+    length = F.col(last) - F.col(first) + 1
+    out = F.lit(WIDTHS[-1])
+    for w in reversed(WIDTHS[:-1]):
+        out = F.when(length <= 1 << w, w).otherwise(out)
+    return out
 
 
 def containing(points: DataFrame, spans: DataFrame, on: list[str], at: str = "at", first: str = "first", last: str = "last") -> DataFrame:
     """Each point with each span (first to last, both included) around it; ``on`` has the columns that both share. Spans that end before they begin hold nothing."""
-    sized = spans.filter(F.col(last) >= F.col(first)).withColumn("__width", _width(first, last))
-    widths = [r[0] for r in sized.select("__width").distinct().collect()]  # 64 at most
     bin_of = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("__width"))
-    binned = sized.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of(first), bin_of(last)))))
-    asked = points.withColumn("__width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("__bin", bin_of(at))
+    binned = spans.filter(F.col(last) >= F.col(first)).withColumn("__width", _width(first, last)).withColumn("__bin", F.explode(F.sequence(bin_of(first), bin_of(last))))
+    asked = points.withColumn("__width", F.explode(F.array(*map(F.lit, WIDTHS)))).withColumn("__bin", bin_of(at))
     met = asked.join(binned, [*on, "__width", "__bin"])
     return met.filter((F.col(first) <= F.col(at)) & (F.col(at) <= F.col(last))).drop("__width", "__bin")
 

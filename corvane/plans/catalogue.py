@@ -244,7 +244,17 @@ def callers_bfs(spark, sf):
     return graph.callers_bfs(edges_of(spark, sf).select("src", "dst"), [7], 3)
 
 
-@query()
+def _hops(n: int) -> str:
+    """Guarded hops, one after the other: a frontier of the first five callers that aren't busy."""
+    parts = ["busy as (select dst from edges group by dst having count(*) >= 12)", "f0 as (select 7 as node)"]
+    for k in range(1, n + 1):
+        parts.append(f"h{k} as (select {k} as hop, src, dst from edges where dst in (from f{k - 1}))")
+        seen = " union all ".join(f"select node from f{j}" for j in range(k))
+        parts.append(f"f{k} as (select distinct src as node from h{k} where src not in ({seen}) and src not in (from busy) order by 1 limit 5)")
+    return "with " + EDGES + ", " + ", ".join(parts) + " " + " union all ".join(f"select hop, src, dst from h{k}" for k in range(1, n + 1))
+
+
+@query(_hops(4))
 def callers_bfs_guarded(spark, sf):
     return graph.callers_bfs(edges_of(spark, sf).select("src", "dst"), [7], 4, max_frontier=5, hub=12)
 

@@ -43,10 +43,11 @@ MATCHES = CODE + f""", matched as (
 )"""
 
 
-def matches_of(spark: SparkSession, sf: str) -> DataFrame:
+def matches_of(spark: SparkSession, sf: str, about: DataFrame | None = None) -> DataFrame:
+    """The matches; ``about`` has more of each path than when it was changed and its size."""
     text, t = F.col("text"), code.trimmed(F.col("text"))
     some = lambda pattern, of=text: F.nullif(F.regexp_extract(of, pattern, 1), F.lit(""))
-    about = code_files(spark, sf).select("path", "mtime", "byte_len")
+    about = code_files(spark, sf).select("path", "mtime", "byte_len") if about is None else about
     found = code_lines(spark, sf).filter(F.contains(F.lower("text"), F.lit("handle"))).join(about, "path")
     named = some("(?:fn|class|struct|interface|type|def|func|function|const) +([A-Za-z_][A-Za-z0-9_]*)")
     told = found.select("*", F.contains("text", F.lit("handle")).alias("exact"), paths.file_type(F.col("name")).alias("file_type"), named.alias("d"), some("^impl ([A-Za-z_]+)", t).alias("impl_target"), some(" extends ([A-Za-z_]+)").alias("base_target"), code.begins(t, ("//", "#", "/*", "<!--", "* ")).alias("in_comment"))
@@ -161,24 +162,26 @@ _TERMS = f"""case when is_definition then def_weight * 10 else 0 end as weight,
     -(case when list_has_any(string_split(path, '/'), ['node_modules', 'vendor', 'dist', 'build', '.git', 'target', '__pycache__', '.venv', 'venv', 'pkg', 'out']) then 200 else 0 end) as vendor"""
 
 
-def _ranked(spark: SparkSession, sf: str, text: str) -> tuple[DataFrame, dict]:
-    found = matches_of(spark, sf).withColumn("age", F.lit(NOW) - F.col("mtime")).withColumn("est_lines", F.greatest(F.lit(1), F.floor(F.col("byte_len") / 40)))
-    return found, rank.terms(text, columns(found) | {"folder": found["dir"]})
+def _ranked(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    """Matches with the terms of their files."""
+    files = code_files(spark, sf)
+    terms = rank.file_terms(text, files["path"], files["ext"], F.greatest(F.lit(1), F.floor(files["byte_len"] / 40)), F.lit(NOW) - files["mtime"])
+    return matches_of(spark, sf, files.select("path", *[c.alias(k) for k, c in terms.items()]))
 
 
 @query(f"with {MATCHES}, aged as (select *, {NOW} - mtime as age from matches) select path, line, {_TERMS} from aged")
 def rank_terms(spark, sf):
     """Each term of each match's score."""
-    found, terms = _ranked(spark, sf, "handle")
-    return found.select("path", "line", *[c.alias(k) for k, c in terms.items()])
+    found = _ranked(spark, sf, "handle")
+    return found.select("path", "line", *rank.FILE_TERMS, *[c.alias(k) for k, c in rank.line_terms("handle", columns(found)).items()])
 
 
 @query(f"""with {MATCHES}, aged as (select *, {NOW} - mtime as age from matches), terms as (select path, line, {_TERMS} from aged)
     select path, line, weight + definition + exact + intent + words + proximity + recency + small + basename + exported + non_code + incidental + tests + fixtures + vendor as score from terms order by score desc, path, line limit 100""")
 def rank_score(spark, sf):
     """The first page of matches by score, path and line."""
-    found, terms = _ranked(spark, sf, "handle")
-    return search.paged(found.select("path", "line", sum(terms.values(), F.lit(0)).alias("score")), [F.desc("score"), F.col("path"), F.col("line")], 100)
+    found = _ranked(spark, sf, "handle")
+    return search.paged(found.select("path", "line", rank.score("handle", columns(found)).alias("score")), [F.desc("score"), F.col("path"), F.col("line")], 100)
 
 
 _WORDS = "(case when contains(lower(path || ' ' || text), 'handle') then 1 else 0 end + case when contains(lower(path || ' ' || text), 'user') then 1 else 0 end + case when contains(lower(path || ' ' || text), 'test') then 1 else 0 end)"
@@ -188,8 +191,9 @@ _WORDS = "(case when contains(lower(path || ' ' || text), 'handle') then 1 else
     case when {_starts("ltrim(text)", code.TYPE_BEGINS)} then 90 else 0 end as type_intent from matches""")
 def rank_words(spark, sf):
     """Terms that other queries have: several words, one of them about tests, and a capital."""
-    found, terms = _ranked(spark, sf, "Handle user test")
-    return found.select("path", "line", terms["words"].alias("words"), terms["tests"].alias("tests"), rank.query_intent(F.col("text"), "Handle").alias("type_intent"))
+    found = _ranked(spark, sf, "Handle user test")
+    words = rank.line_terms("Handle user test", columns(found))["words"]
+    return found.select("path", "line", words.alias("words"), "tests", rank.query_intent(F.col("text"), "Handle").alias("type_intent"))
 
 
 @query(f"""with {CODE}, roots as (select distinct dir from code_files where name in ({_in(paths.MANIFESTS)})),

@@ -33,10 +33,22 @@ def sites_of(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+def _traced(hops: int, edges: int, names: int, hub: int, skip: str) -> str:
+    """The guarded search written out hop by hop."""
+    parts = ["f0 as (select 'f13' as name)"]
+    for k in range(1, hops + 1):
+        before = " + ".join(["0", *(f"(select count(*) from h{j})" for j in range(1, k))])
+        parts.append(f"h{k} as (select {k}::int as hop, caller, path, line, callee, text from sites where callee in (from f{k - 1}) order by path, line, callee, caller, text limit (select greatest(0, {edges} - ({before}))))")
+        hubs = " union all ".join(f"select callee from h{j} group by callee having count(*) >= {hub}" for j in range(1, k + 1))
+        visited = "".join(f" and not exists (select 1 from h{j} v where v.caller = h{k}.caller and v.path = h{k}.path)" for j in range(1, k))
+        parts.append(f"f{k} as (select distinct string_split(caller, '.')[2] as name from h{k} where caller <> '<top-level>'{visited} and string_split(caller, '.')[2] <> '{skip}' and string_split(caller, '.')[2] not in ({hubs}) order by 1 limit {names})")
+    return f"with {SITES}, " + ", ".join(parts) + " " + " union all ".join(f"select hop, caller, path, line, callee, text from h{k}" for k in range(1, hops + 1))
+
+
+@query(_traced(3, 1500, 50, 200, "f26"))
 def callers_traced(spark, sf):
     """Three hops from f13 with all guards on."""
-    return trace.callers(sites_of(spark, sf), "T0.f13", 3, max_edges=300, skip=("f26",)).frame(spark)
+    return trace.callers(sites_of(spark, sf), "T0.f13", 3, max_edges=1500, skip=("f26",)).frame(spark)
 
 
 _COUNTS = " union all ".join(f"select '{k}' as field, {v} as key, count(*) as n from sites group by 2" for k, v in {"args": "coalesce(args::varchar, '?')", "caller": "caller", "receiver": "coalesce(receiver, '<none>')", "path": "path", "file": "string_split(path, '/')[-1]"}.items())
