@@ -120,3 +120,33 @@ def is_definition_line(text: Column) -> Column:
 
 def evidence_kind(is_definition: Column, exact: Column, file_type: Column) -> Column:
     return F.when(is_definition, "definition").when(~exact | (file_type != "code"), "text").otherwise("name occurrence")
+
+
+# How much a kind of definition weighs.
+DEFINITION_WEIGHTS = {
+    100: (
+        "function_declaration", "function_definition", "function_item", "function_expression", "generator_function", "method_definition", "method_declaration", "class_declaration", "class_definition", "class_specifier", "struct_item",
+        "struct_specifier", "union_specifier", "interface_declaration", "trait_declaration", "trait_item", "enum_item", "enum_declaration", "enum_specifier", "type_item", "type_declaration", "decorated_definition", "class", "method", "singleton_method",
+    ),
+    90: ("impl_item", "object_declaration", "label"), 80: ("const_item", "const_declaration", "static_item"), 70: ("mod_item", "namespace_definition", "property_declaration", "module"),
+    40: ("lexical_declaration", "variable_declaration"), 30: ("export_statement",),
+}
+
+
+def definition_weight(kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for weight, kinds in DEFINITION_WEIGHTS.items() for k in kinds for x in (k, weight)]), kind), F.lit(50))
+
+
+def export_names(text: Column) -> Column:
+    """The names that a line of a bundle exports: declarations, lists (a name's alias), and exports.name."""
+    rest = F.regexp_extract(text, r"^\s*export (.*)$", 1)
+    listed = F.transform(F.split(F.regexp_extract(rest, r"^\{([^}]*)", 1), ","), lambda p: F.regexp_extract(F.coalesce(F.nullif(F.regexp_extract(p, r" as (.*)$", 1), F.lit("")), F.trim(p)), r"^([A-Za-z0-9_$]+)", 1))
+    declared = F.array(F.regexp_extract(rest, r"^(?:default function |function |class |const |let |var )([A-Za-z0-9_$]+)", 1))
+    assigned = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_$.])(?:module\.)?exports\.([A-Za-z0-9_$]+)"), F.lit(1))
+    return F.filter(F.concat(F.when(F.startswith(rest, F.lit("{")), listed).otherwise(declared), assigned), lambda x: x != "")
+
+
+def module_names(text: Column) -> Column:
+    """The names that define("name") and define('name') give modules."""
+    found = F.regexp_extract_all(text, F.lit(r"""define\(["']([^"']*)["']"""), F.lit(1))
+    return F.filter(found, lambda x: x.rlike(r"^[A-Za-z0-9_/.@-]{1,160}$"))

@@ -171,3 +171,18 @@ def _same(a: Column, b: Column) -> Column:
 def is_under(path: Column, folder: Column) -> Column:
     """A path is the folder or in it."""
     return (path == folder) | F.startswith(path, F.concat(folder, F.lit("/"))) | (folder == "")
+
+
+# Folders that hold no production code.
+NON_PRODUCTION = ("tests", "test", "spec", "specs", "__tests__", "vendor", "node_modules", "override", "overrides", "fixtures", "examples", "docs", "build", "dist", "target")
+
+
+def is_production(path: Column) -> Column:
+    return ~has_part(path, NON_PRODUCTION)
+
+
+def byte_range(section: Column) -> Column:
+    """The numbers of bytes:A-B; null for anything else."""
+    good = section.rlike(r"^bytes:\+?[0-9]{1,18}-\+?[0-9]{1,18}$")
+    part = lambda p: F.regexp_extract(section, p, 1).try_cast("long")
+    return F.when(good, F.struct(part(r"^bytes:\+?([0-9]+)").alias("first"), part(r"-\+?([0-9]+)$").alias("last")))

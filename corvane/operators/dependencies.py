@@ -133,3 +133,24 @@ def alias_match(specifiers: DataFrame, aliases: list[tuple[str, list[str]]]) ->
             odd = odd | s.like(key.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%"))
     kind = F.when(exact.isNotNull(), "match").when(odd, "abstain").when(length >= 0, "match").otherwise("none")
     return specifiers.withColumn("match", kind).withColumn("targets", F.when(exact.isNotNull(), exact).when(~odd & (length >= 0), best))
+
+
+def related_files(found: DataFrame, most: int = 8) -> DataFrame:
+    """For each folder the files that its ``resolved`` imports mean, relative ones before others, each once, the first ``most``."""
+    ranked = found.filter("target is not null").withColumn("alias", ~F.startswith("source", F.lit("."))).groupBy("dir", "target").agg(F.min(F.struct("alias", "line", "source")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("dir").orderBy("first", "target"))
+    return ranked.withColumn("rank", rank).filter(F.col("rank") <= most).select("dir", "target", F.col("first.source").alias("source"), "rank")
+
+
+def nearness(path: Column, source: Column) -> Column:
+    """0 for the file itself, 1 for its folder, 2 for elsewhere."""
+    folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
+    return F.when(path == source, 0).when(folder(path) == folder(source), 1).otherwise(2)
+
+
+def anchors(lines: DataFrame) -> DataFrame:
+    """path, kind (export or mod), name, the first line of each and how many lines name it, of bundles (path, line, text)."""
+    named = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    maybe = lines.filter(F.col("text").rlike(r"\bexports?\b|define\("))
+    found = maybe.select("path", "line", F.explode(F.concat(named("export", code.export_names(F.col("text"))), named("mod", code.module_names(F.col("text"))))).alias("a"))
+    return found.groupBy("path", "a.kind", "a.name").agg(F.min("line").alias("line"), F.count("*").alias("n"))

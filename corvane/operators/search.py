@@ -152,3 +152,35 @@ def nearest_files(files: DataFrame, wanted: str, most: int = 3) -> DataFrame:
     """name and distance of the files nearest to the wanted name, within ``most`` bytes."""
     near = files.select("name").distinct().withColumn("distance", edit_distance(F.col("name"), F.lit(wanted))).filter(F.col("distance") <= most)
     return near.join(F.broadcast(near.agg(F.min("distance").alias("least"))), F.col("distance") == F.col("least")).drop("least")  # one row
+
+
+def covering_windows(lines: DataFrame, terms: list[str], gap: int = 21, span: int = 80, most: int = 3) -> DataFrame:
+    """For each file up to ``most`` windows of hits (path, first, last, n_hits, terms), chosen one by one: most terms that aren't covered yet, then most terms, most hits, the
+    shortest, the first; as long as terms are uncovered or a window with several terms is left. Windows merge as in ``hit_windows``."""
+    hits = term_hits(lines, terms).groupBy("path", "line").agg(F.sort_array(F.collect_set("term")).alias("ts"), F.count("*").alias("n"))
+    window = "struct<first:int,last:int,n:long,terms:array<string>>"
+    start = F.array().cast(f"array<{window}>")
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joins = (F.size(acc) > 0) & (x["line"] <= last["last"] + gap) & (x["line"] - last["first"] + 1 <= span)
+        own = F.struct(x["line"].cast("int").alias("first"), x["line"].cast("int").alias("last"), x["n"].alias("n"), x["ts"].alias("terms"))
+        grown = F.struct(last["first"].alias("first"), x["line"].cast("int").alias("last"), (last["n"] + x["n"]).alias("n"), F.sort_array(F.array_union(last["terms"], x["ts"])).alias("terms"))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(own)))
+
+    held = hits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "n", "ts"))).alias("h"))
+    told = held.select("path", F.aggregate("h", start, merge).alias("left"))
+    told = told.select("path", "left", F.array_distinct(F.flatten(F.transform("left", lambda w: w["terms"]))).alias("every"))
+    state = F.struct(F.col("left").alias("left"), start.alias("chosen"), F.array().cast("array<string>").alias("covered"))
+
+    def choose(acc: Column, _: Column) -> Column:
+        goes = (F.size(acc["left"]) > 0) & ((F.size(acc["covered"]) < F.size("every")) | F.exists(acc["left"], lambda w: F.size(w["terms"]) > 1))
+        worth = lambda w: F.struct(F.size(F.array_except(w["terms"], acc["covered"])), F.size(w["terms"]), w["n"], w["first"] - w["last"], -w["first"], w.alias("w"))
+        best = F.array_max(F.transform(acc["left"], worth))
+        taken = lambda b: F.struct(
+            F.filter(acc["left"], lambda w: w["first"] != b["w"]["first"]).alias("left"), F.concat(acc["chosen"], F.array(b["w"])).alias("chosen"), F.array_union(acc["covered"], b["w"]["terms"]).alias("covered")
+        )
+        return F.when(goes, F.transform(F.array(best), taken)[0]).otherwise(acc)  # an array of one, so that the best is found once
+
+    chosen = told.select("path", F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(most)), state, choose)["chosen"]).alias("w"))
+    return chosen.select("path", "w.first", "w.last", F.col("w.n").alias("n_hits"), "w.terms")

@@ -396,7 +396,7 @@ def budget_fold(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from corvane.plans import asked, code, intervals, navigation, syntax, texts  # noqa: F401  (they register their queries)
+    from corvane.plans import asked, code, details, intervals, navigation, syntax, texts  # noqa: F401  (they register their queries)
 
     return dict(registry.QUERIES)
 

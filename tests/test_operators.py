@@ -103,3 +103,32 @@ def test_python_that_does_not_parse_is_told(spark):
     assert [(r.path, r.name, r.signature) for r in syntax.outline(files).collect()] == [("b.py", "g", "def g(): return h(1)")]
     assert [(r.path, r.callee, r.caller, r.returned) for r in syntax.calls(files).collect()] == [("b.py", "h", "g", True)]
     assert syntax.outline(files.limit(0)).count() == 0
+
+
+def test_windows_cover_terms_greedily(spark):
+    from corvane.plans import samples
+
+    sf, terms, gap, span = "/root/testdata/sf0.001", ["handle", "user", "token"], 3, 12
+    lines = samples.code_lines(spark, sf).select("path", "line", "text")
+    by_path = {}
+    for r in lines.collect():
+        own = [t for t in terms if t in r.text]
+        if own:
+            by_path.setdefault(r.path, []).append((r.line, own))
+    expected = set()
+    for path, hits in by_path.items():
+        windows = []
+        for line, own in sorted(hits):
+            if windows and line <= windows[-1][1] + gap and line - windows[-1][0] + 1 <= span:
+                windows[-1][1], windows[-1][2], windows[-1][3] = line, windows[-1][2] + len(own), windows[-1][3] | set(own)
+            else:
+                windows.append([line, line, len(own), set(own)])
+        covered, every, chosen = set(), set().union(*(w[3] for w in windows)), 0
+        while chosen < 3 and windows and (len(covered) < len(every) or any(len(w[3]) > 1 for w in windows)):
+            best = max(windows, key=lambda w: (len(w[3] - covered), len(w[3]), w[2], w[0] - w[1], -w[0]))
+            windows.remove(best)
+            covered |= best[3]
+            chosen += 1
+            expected.add((path, best[0], best[1], best[2], tuple(sorted(best[3]))))
+    got = {(r[0], r[1], r[2], r[3], tuple(r[4])) for r in search.covering_windows(lines, terms, gap, span).select("path", "first", "last", "n_hits", "terms").collect()}
+    assert got == expected and len(got) > 200
