@@ -96,8 +96,21 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else "file://" + uri)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Texts go to Python workers in batches of this many bytes at most; each is held several times over, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's bound, unless it asks for smaller batches."""
+    held = spark.conf.get(_BATCH)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; whatever else a table has is left out."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import bound_batches
+
 SIGMA = 1.0
 
 # HTML elements by role.
@@ -279,5 +281,6 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(h.as_py()) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return raw.mapInArrow(run, "page_id long, url string, text string, n_chars long")

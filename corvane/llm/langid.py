@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import bound_batches
+
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
 LANGUAGES = 200
@@ -149,5 +151,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     names[i], scores[i] = own.languages[best], min(1.0, float(row[best]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
+    bound_batches(docs.sparkSession)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return raw.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -179,4 +179,4 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     texts = keyed_text(docs, id_col, text_col)
-    return _joined(texts, keep_bitmaps(texts, min_chars=min_chars), "doc_id", "text").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _joined(texts, keep_bitmaps(texts, min_chars=min_chars), "doc_id", "text").mapInArrow(released(digest), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import filesystem, work_folder
+from corvane.llm.common import bound_batches, filesystem, work_folder
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY = 64 << 10
@@ -140,6 +140,7 @@ def read(uri: str, name: str) -> Iterator[bytes]:
 
 def assign(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url and payload of every row, with ``first`` and ``first_url``: the response that it revisits, or null."""
+    bound_batches(pages.sparkSession)
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = raw.withColumn("digest", F.sha1("payload"))
     best = keyed.select("digest", "page_id", "url").groupBy("digest").agg(F.max("page_id").alias("best"), F.max_by("url", "page_id").alias("best_url")).withColumnRenamed("digest", "best_digest")
