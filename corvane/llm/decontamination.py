@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import chunks, filesystem, keyed_text, materialise, released, settle, work_folder
 
 WINDOW = 10
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 6 << 20
 BLOCK_BYTES = 4 << 20
 KEPT_BYTES = 48 << 20
-CANDIDATES = 2 << 20
+CANDIDATES = 1 << 19
 
 # A-Z to a-z; every ASCII byte but 0-9, a-z and A-Z to a space; bytes of other characters as they are.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))

@@ -48,7 +48,7 @@ def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle_chunks(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, max_bytes=32 << 20, max_rows=100_000):
+        for table in chunks(batches, max_bytes=16 << 20, max_rows=100_000):
             digests: list[bytes] = []
             owner: list[int] = []
             position: list[int] = []

@@ -2,7 +2,7 @@
 
 A vocabulary file that lower-cases, drops white space and splits to runs of letters, digits and the rest gives a text the ids
 of its chunks between ASCII white space, one after the other. A worker keeps the ids of the chunks it has seen, and the
-library encodes only new ones, many at once. The memo has a bound, and between tasks its older half goes; the ids don't depend on it. Texts of other files,
+library encodes only new ones, many at once. The memo has a bound; when it is full, only what the batch at hand uses of it stays. The ids don't depend on it. Texts of other files,
 and texts with a special token's string, are encoded whole.
 
 Edge cases: a null text is empty, and has no ids but the end id.
@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from corvane.llm.common import chunks
 
 END = 1
-MEMO = 600_000
-BATCH_BYTES = 6 << 20
+MEMO = 400_000
+BATCH_BYTES = 3 << 20
 
 
 #: A chunk of these letters alone is one piece.
@@ -41,7 +41,6 @@ class Encoder:
         self.word_by_word = self._word_by_word(kept)
         self.specials = [t["content"].lower() for t in kept["added_tokens"]]
         self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _word_by_word(kept: dict) -> bool:
@@ -77,10 +76,8 @@ class Encoder:
         """The ids of distinct chunks."""
         unknown = [c for c in chunks if c not in self.new]
         if len(self.new) + len(unknown) > MEMO:
-            self.old, self.new, unknown = self.new, {}, chunks
-        again = {c: ids for c in unknown if (ids := self.old.get(c)) is not None}
-        self.new.update(again)
-        self._learn([c for c in unknown if c not in again])
+            self.new = {c: ids for c in chunks if (ids := self.new.get(c)) is not None}
+        self._learn(unknown)
         return [self.new[c] for c in chunks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +129,6 @@ def encoded(path: str, batches: Iterable[pa.RecordBatch], column: str = "text")
     own = encoder(path)
     for table in chunks(batches, column, BATCH_BYTES, 50_000):
         yield table, *own.encode(table.column(column).combine_chunks())
-    own.old = {}
 
 
 def crc(ids: np.ndarray) -> int:
