@@ -38,13 +38,13 @@ MOST_PARTS = 50_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", small: bool = False) -> DataFrame:
     """A row for each piece of each row's ids: where it starts in its document, its length and the checksum of its ids;
     ``spread`` is a number without meaning that differs from row to row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
-        for table, ids, ends in encoded(vocabulary, batches):
+        for table, ids, ends in encoded(vocabulary, batches, small=small):
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             sizes = ends - starts
             n = -(-sizes // capacity)
@@ -246,6 +246,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all rows with their sequence and their place in it."""
-    return pack(materialise(pieces(docs, vocabulary, capacity, id_col, text_col), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", small: bool = False) -> DataFrame:
+    """Pieces of all rows with their sequence and their place in it; ``small`` takes less of a worker's memory, and more time."""
+    return pack(materialise(pieces(docs, vocabulary, capacity, id_col, text_col, small), "pieces"), capacity)

@@ -25,6 +25,9 @@ from corvane.llm.common import chunks
 END = 1
 MEMO = 600_000
 BATCH_BYTES = 6 << 20
+#: The same for workers that have little memory beside other stages; it costs time.
+SMALL_MEMO = 200_000
+SMALL_BATCH_BYTES = 3 << 20
 
 
 #: A chunk of these letters alone is one piece.
@@ -40,6 +43,7 @@ class Encoder:
         kept = json.loads(self.tokenizer.to_str())
         self.word_by_word = self._word_by_word(kept)
         self.specials = [t["content"].lower() for t in kept["added_tokens"]]
+        self.memo = MEMO
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -76,7 +80,7 @@ class Encoder:
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks."""
         unknown = [c for c in chunks if c not in self.new]
-        if len(self.new) + len(unknown) > MEMO:
+        if len(self.new) + len(unknown) > self.memo:
             self.old, self.new, unknown = self.new, {}, chunks
         again = {c: ids for c in unknown if (ids := self.old.get(c)) is not None}
         self.new.update(again)
@@ -127,10 +131,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(path: str, batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def encoded(path: str, batches: Iterable[pa.RecordBatch], column: str = "text", small: bool = False) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Tables of bounded bytes with the ids and the ends of their texts."""
     own = encoder(path)
-    for table in chunks(batches, column, BATCH_BYTES, 50_000):
+    own.memo = SMALL_MEMO if small else MEMO
+    for table in chunks(batches, column, SMALL_BATCH_BYTES if small else BATCH_BYTES, 50_000):
         yield table, *own.encode(table.column(column).combine_chunks())
     own.old = {}
 
