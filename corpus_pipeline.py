@@ -33,7 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), small=True)
 
 
 STAGES = [
