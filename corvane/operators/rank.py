@@ -89,8 +89,8 @@ def is_test_query(query: str) -> bool:
     return "test" in q or "spec" in q or q.startswith("should")
 
 
-def recency(age_seconds: Column) -> Column:
-    a = F.greatest(F.lit(0), age_seconds)
+def recency(a: Column) -> Column:
+    """By age in seconds: what lies ahead is new, an unknown age (null) is old."""
     return F.when(a <= 3_600, 100).when(a <= 86_400, 80).when(a <= 604_800, 50).when(a <= 2_592_000, 20).otherwise(0)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 from corvane.functions import text as T
 from corvane.operators import graph, rank, search, spans
@@ -359,10 +360,17 @@ def innermost_binding_asof(spark, sf):
 
 # --- ranking, counts and folds -------------------------------------------------------------------------------------
 
+def _epoch(ts: Column, kind: DataType) -> Column:
+    """Seconds since 1970 as SQL rounds them: through a double to the nearest, halves to the even one. A time without a zone is never taken for one of the session's zone, which may skip or repeat hours."""
+    micros = (ts - F.expr("timestamp_ntz '1970-01-01'")).cast("decimal(20, 6)") * 1_000_000 if isinstance(kind, TimestampNTZType) else F.unix_micros(ts.cast("timestamp"))
+    return F.rint(micros.cast("long").cast("double") / 1_000_000).cast("long")
+
+
 @query("""with e as (select event_id, epoch((select max(ts) from events))::bigint - epoch(ts)::bigint as age from events)
     select event_id, case when age <= 3600 then 100 when age <= 86400 then 80 when age <= 604800 then 50 when age <= 2592000 then 20 else 0 end as points from e""")
 def recency_points(spark, sf):
-    events = adapters.table(spark, sf, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    events = adapters.table(spark, sf, "events")
+    events = events.select("event_id", _epoch(F.col("ts"), events.schema["ts"].dataType).alias("at"))
     last = events.agg(F.max("at").alias("last"))
     return events.crossJoin(F.broadcast(last)).select("event_id", rank.recency(F.col("last") - F.col("at")).alias("points"))  # last is one row
 

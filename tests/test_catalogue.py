@@ -1,5 +1,6 @@
 from collections import Counter
 
+import duckdb
 import pytest
 from conftest import SF
 
@@ -41,3 +42,20 @@ def test_pages_join_to_the_whole(spark):
     order = [F.col("path"), F.col("line")]
     whole = [tuple(r) for r in search.paged(found, order, 30).collect()]
     assert whole == [tuple(r) for k in (0, 10, 20) for r in search.paged(found, order, 10, k).collect()]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])  # the second has no 2024-03-10 02:00 to 03:00
+@pytest.mark.parametrize("last", ["12:00:00.2", "12:00:00.5", "12:00:01.5", "12:00:01.8"])
+def test_recency_takes_seconds_as_its_sql(spark, same, tmp_path, zone, last):
+    """Times with parts of a second round to the nearest second, halves to the even one; none is old."""
+    duck = duckdb.connect()
+    duck.sql(f"""create table events as select row_number() over () as event_id, timestamp '2024-03-20 {last}' - to_seconds(age) + to_microseconds(us) as ts
+        from (values (1), (3600), (3601), (86400), (86401), (604800), (604801), (2592000), (2592001), (2595000)) a(age), (values (0), (-300000), (-500001), (-500000), (-499999), (-700000), (-999999)) f(us)""")
+    duck.sql(f"insert into events values (0, timestamp '2024-03-20 {last}'), (-1, null)")
+    duck.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        same(catalogue.queries()["recency_points"](spark, str(tmp_path)).toPandas(), duck.sql(catalogue.oracle_sql()["recency_points"]).df())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
